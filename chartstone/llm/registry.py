@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from chartstone.llm import packing, token_files, url_filter
+from chartstone.llm import licenses, packing, quality, simhash, token_files, url_filter
 from chartstone.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -19,6 +19,18 @@ def op2_token_files(spark, sf_dir):
     return token_files.token_table(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash(spark, sf_dir):
+    return simhash.simhash_table(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark, sf_dir):
+    return quality.quality_table(table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -26,6 +38,9 @@ def op8_best_fit_packing(spark, sf_dir):
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
+    "op3_license_scan": op3_license_scan,
+    "op6_simhash": op6_simhash,
+    "op9_quality_rules": op9_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
-ORACLES = {"op1_url_filter": url_filter.oracle()}
+ORACLES = {"op1_url_filter": url_filter.oracle(), "op9_quality_rules": quality.oracle()}
