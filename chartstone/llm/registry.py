@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from chartstone.llm import licenses, packing, quality, simhash, token_files, url_filter
+from chartstone.llm import ann, bpe_automaton, langid, licenses, packing, quality, simhash, token_files, url_filter
 from chartstone.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -23,6 +23,18 @@ def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark, sf_dir):
+    return langid.language_table(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest_neighbours(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_bpe_automaton(spark, sf_dir):
+    return bpe_automaton.encoding_table(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.simhash_table(table(spark, sf_dir, "documents"))
 
@@ -39,6 +51,9 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
     "op3_license_scan": op3_license_scan,
+    "op4_language_id": op4_language_id,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op7_bpe_automaton": op7_bpe_automaton,
     "op6_simhash": op6_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
