@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from chartstone.llm import ann, bpe_automaton, langid, licenses, packing, quality, simhash, token_files, url_filter
+import corpus_pipeline
+
+from chartstone.llm import ann, bpe_automaton, langid, licenses, line_dedup, packing, quality, simhash, token_files, url_filter
 from chartstone.llm.common import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -35,6 +37,10 @@ def op7_bpe_automaton(spark, sf_dir):
     return bpe_automaton.encoding_table(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op10_line_dedup(spark, sf_dir):
+    return line_dedup.line_table(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark, sf_dir):
     return simhash.simhash_table(table(spark, sf_dir, "documents"))
 
@@ -48,14 +54,20 @@ def op8_best_fit_packing(spark, sf_dir):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_url_filter": op1_url_filter,
     "op2_token_files": op2_token_files,
     "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op10_line_dedup": op10_line_dedup,
     "op6_simhash": op6_simhash,
     "op9_quality_rules": op9_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
-ORACLES = {"op1_url_filter": url_filter.oracle(), "op9_quality_rules": quality.oracle()}
+ORACLES = {
+    **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
+    "op1_url_filter": url_filter.oracle(),
+    "op9_quality_rules": quality.oracle(),
+}
