@@ -60,7 +60,7 @@ def _numbered(groups: DataFrame, keys: list[str]) -> DataFrame:
 def _suffixes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k, p, w, r): the lines that stand at least twice; p counts a document's lines with words, r is the rank of depth 1."""
     docs = df.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    docs = docs.select(key_of(F.col(id_col), F.col(text_col)).alias("k"), lines_of(F.col(text_col)).alias("lines")).filter(F.size("lines") > 0)
+    docs = docs.select(key_of(F.col(id_col), F.col(text_col)).alias("k"), lines_of(F.col(text_col)).alias("lines"))
     docs = written(docs.groupBy("k").agg(F.first("lines").alias("lines")), "lines")
     counts = docs.select(F.explode("lines.h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     ranked = written(_numbered(counts, ["h"]).select(F.col("h").alias("_h"), "r"), "rank")

@@ -150,7 +150,9 @@ def quality_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_quality(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The documents that pass, with the columns of df."""
     order = [r for r, _, _ in estimate(df, text_col, rules)]
-    return with_figures(df, text_col).filter(cascade(order)).select(*[F.col(f"`{c}`") for c in df.columns])
+    out = with_figures(df, text_col).withColumns({WORK + "keep": cascade(order), WORK + "row": F.monotonically_increasing_id()})
+    # a filter is not pushed below a row number; pushed, it would hold every figure's expression anew for each use
+    return out.filter(F.col(WORK + "keep") & (F.col(WORK + "row") >= 0)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def figures_sql(source: str = "documents") -> str:
