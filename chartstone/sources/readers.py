@@ -25,7 +25,8 @@ def file_kind(path: Column) -> Column:
 def read_pictures(spark: SparkSession, path: str) -> DataFrame:
     """(chart_id, height, width, channels, data) in RGB order with Spark's own decoder; chart_id is the file's stem."""
     raw = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
-    stem = F.regexp_extract("origin", r"([^/]+?)(?:\.[^./]+)?$", 1)
+    plain = F.url_decode(F.replace("origin", F.lit("+"), F.lit("%2B")))  # the source gives a URI
+    stem = F.regexp_extract(plain, r"([^/]+?)(?:\.[^./]+)?$", 1)
 
     def to_rgb(batches):
         for batch in batches:
