@@ -107,8 +107,10 @@ def condition(rule: Rule) -> Column:
 
 
 def sample_of(df: DataFrame, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most ``rows`` documents; which ones can only change the order of the rules."""
-    return df.select(F.col(text_col).alias("text")).limit(rows)
+    """About ``rows`` documents, all if there are fewer; which ones can only change the order of the rules."""
+    text = df.select(F.col(text_col).alias("text"))
+    total = text.count()
+    return text if total <= rows else text.sample(rows / total, seed=42)
 
 
 def estimate(df: DataFrame, text_col: str = "text", rules=RULES, rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
