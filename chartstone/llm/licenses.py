@@ -222,14 +222,31 @@ def _longest_run(sorted_values: Column) -> Column:
     return F.aggregate(sorted_values, start, step, lambda a: a["best"])
 
 
-def base_oracle(source: str = "documents") -> str:
-    """DuckDB SQL of the columns that the contract fixes in full (not labels and score, which the method adds)."""
+def oracle(source: str = "documents", items=TEMPLATES) -> str:
+    """DuckDB SQL of the whole result: the same index as joins over word rows."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    index = templates(items)
     words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-    conditions = " OR ".join(f"words[i:i+{len(p) - 1}] = {list(p)!r}" for p, _ in PHRASES)
-    label = " ".join(f"WHEN words[i:i+{len(p) - 1}] = {list(p)!r} THEN '{x}'" for p, x in PHRASES)
+    starts = lambda p: f"words[i:i+{len(p) - 1}] = {list(p)!r}"
+    label = " ".join(f"WHEN {starts(p)} THEN {quote(x)}" for p, x in PHRASES)
+    postings = ", ".join(f"({k}, {i}, {quote(w)})" for k, t in enumerate(index) for i, w in enumerate(t.words))
+    keys = ", ".join(f"({k}, {quote(t.label)}, {quote(f' {p} ')}, {sorted(set(p.split()))!r})" for k, t in enumerate(index) for p in t.phrases)
     return f"""
 WITH w AS (SELECT doc_id, {words} AS words FROM {source}),
-pl AS (SELECT doc_id, i, CASE {label} END AS label FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w) WHERE {conditions}),
-g AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM pl GROUP BY doc_id)
-SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels
-FROM w LEFT JOIN g USING (doc_id)"""
+pl AS (SELECT doc_id, i, CASE {label} END AS label FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE list_contains(words, 'license')) WHERE {" OR ".join(starts(p) for p, _ in PHRASES)}),
+g AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list_sort(list_distinct(list(label))) AS base FROM pl GROUP BY doc_id),
+posting(t, pos, word) AS (VALUES {postings}),
+key(t, label, phrase, need) AS (VALUES {keys}),
+tok AS (SELECT * FROM (SELECT doc_id, unnest(range(0, len(words))) AS i, unnest(words) AS word FROM w) WHERE word IN (SELECT word FROM posting)),
+held AS (SELECT DISTINCT doc_id, word FROM tok),
+df AS (SELECT word, count(*) AS n FROM held GROUP BY 1),
+cand AS (SELECT w.doc_id, t, label FROM w, key WHERE list_has_all(words, need) AND contains(' ' || array_to_string(words, ' ') || ' ', phrase)),
+top AS (SELECT doc_id, t, label, word FROM cand JOIN (SELECT DISTINCT t, word FROM posting) USING (t) JOIN held USING (doc_id, word) JOIN df USING (word)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, t, label ORDER BY n, word) <= {LOOKED_UP}),
+hit AS (SELECT doc_id, t, label, tok.i - pos AS delta, count(*) AS c FROM top JOIN tok USING (doc_id, word) JOIN posting USING (t, word) GROUP BY 1, 2, 3, 4),
+best AS (SELECT doc_id, t, label, max(c) AS best FROM hit GROUP BY 1, 2, 3),
+size AS (SELECT doc_id, t, label, count(*) AS n FROM top GROUP BY 1, 2, 3),
+ok AS (SELECT doc_id, list(label) AS labels, max(least(1.0::DOUBLE, best / n::DOUBLE)) AS share FROM best JOIN size USING (doc_id, t, label) WHERE 100 * best >= {ALIGNED_PERCENT} * n GROUP BY 1)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base, labels))), ','), '') AS labels, CASE WHEN coalesce(n_base, 0) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN g USING (doc_id) LEFT JOIN ok USING (doc_id)"""

@@ -263,3 +263,20 @@ def brute_force(docs: list[tuple[int, str | None]], min_words: int = MIN_WORDS)
         if sum(count[i][p : p + best]) > min_words:
             gone[i].update(range(p, p + best))
     return {i: t if t is None or not gone[i] else without_lines(t, gone[i]) for i, t in docs}
+
+
+def oracle(source: str = "documents", min_words: int = MIN_WORDS) -> str:
+    """DuckDB SQL of ``line_table`` for unique ids: equal lines are paired with earlier ones and runs are islands on their diagonals."""
+    return rf"""
+WITH l AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {source} WHERE text IS NOT NULL)),
+t AS (SELECT doc_id, i, lines[i] AS line, regexp_replace(lines[i], '^[ 	-]+|[ 	-]+$', '', 'g') AS t FROM l),
+p AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, len(regexp_extract_all(t, '[^ 	-]+')) AS words FROM t WHERE t <> ''),
+pair AS (SELECT a.doc_id, a.p, a.words, b.doc_id AS other, a.p - b.p AS diagonal FROM p a JOIN p b ON a.t = b.t AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.p < a.p))),
+island AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY p) AS g FROM pair),
+run AS (SELECT doc_id, min(p) AS low, max(p) AS high FROM island GROUP BY doc_id, other, diagonal, g HAVING sum(words) > {min_words}),
+gone AS (SELECT DISTINCT doc_id, unnest(range(low, high + 1)) AS p FROM (SELECT DISTINCT * FROM run)),
+kept AS (SELECT t.doc_id, string_agg(t.line, chr(10) ORDER BY t.i) AS text, count(p.p) AS words_left FROM t LEFT JOIN p ON p.doc_id = t.doc_id AND p.i = t.i LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.p = p.p WHERE gone.p IS NULL GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY 1),
+r AS (SELECT d.doc_id, d.text IS NULL AS missing, CASE WHEN n_removed IS NULL THEN d.text WHEN coalesce(words_left, 0) = 0 THEN '' ELSE kept.text END AS text, coalesce(n_removed, 0) AS n_removed, coalesce(len(string_split(d.text, chr(10))), 0) AS n_lines
+  FROM {source} d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id))
+SELECT doc_id, n_lines::BIGINT AS n_lines, n_removed::BIGINT AS n_removed, length(text)::BIGINT AS n_chars_left, md5(text) AS text_md5 FROM r"""

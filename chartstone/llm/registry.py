@@ -69,5 +69,7 @@ QUERIES = {
 ORACLES = {
     **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     "op1_url_filter": url_filter.oracle(),
+    "op3_license_scan": licenses.oracle(),
     "op9_quality_rules": quality.oracle(),
+    "op10_line_dedup": line_dedup.oracle(),
 }
