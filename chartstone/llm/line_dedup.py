@@ -202,7 +202,8 @@ def with_clean_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """df with ``_ld_text`` (the text less later copies) and ``_ld_gone`` (how many lines went)."""
     gone = removable(df, id_col, text_col, min_words).select(F.col("k").alias("_ld_k"), F.col("gone").alias("_ld_lines"))
     keyed = df.withColumn("_ld_key", key_of(F.col(id_col), F.col(text_col)))
-    joined = keyed.join(gone, F.col("_ld_key") == F.col("_ld_k"), "left")
+    # by shuffle at every size: the lines to delete grow with the corpus, and texts are not sorted for it
+    joined = keyed.join(gone.hint("shuffle_hash"), F.col("_ld_key") == F.col("_ld_k"), "left")
 
     @F.pandas_udf("string")
     def clean(text, lines):
@@ -269,8 +270,11 @@ def oracle(source: str = "documents", min_words: int = MIN_WORDS) -> str:
     """DuckDB SQL of ``line_table`` for unique ids: equal lines are paired with earlier ones and runs are islands on their diagonals."""
     return rf"""
 WITH l AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {source} WHERE text IS NOT NULL)),
-t AS (SELECT doc_id, i, lines[i] AS line, regexp_replace(lines[i], '^[ 	-]+|[ 	-]+$', '', 'g') AS t FROM l),
-p AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, len(regexp_extract_all(t, '[^ 	-]+')) AS words FROM t WHERE t <> ''),
+t AS (SELECT doc_id, i, lines[i] AS line, regexp_replace(lines[i], '^[ 	-
+]+|[ 	-
+]+$', '', 'g') AS t FROM l),
+p AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p, len(regexp_extract_all(t, '[^ 	-
+]+')) AS words FROM t WHERE t <> ''),
 pair AS (SELECT a.doc_id, a.p, a.words, b.doc_id AS other, a.p - b.p AS diagonal FROM p a JOIN p b ON a.t = b.t AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.p < a.p))),
 island AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY p) AS g FROM pair),
 run AS (SELECT doc_id, min(p) AS low, max(p) AS high FROM island GROUP BY doc_id, other, diagonal, g HAVING sum(words) > {min_words}),
