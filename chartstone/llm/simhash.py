@@ -122,7 +122,8 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = near_duplicates(df, id_col, text_col)
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = written(gone, "gone")
-    return df.join(gone, df[id_col] == gone["_gone"], "left_anti")
+    # by shuffle at every size: the list grows with the corpus
+    return df.join(gone.hint("shuffle_hash"), df[id_col] == gone["_gone"], "left_anti")
 
 
 def simhash_table(df: DataFrame) -> DataFrame:
