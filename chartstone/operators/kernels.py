@@ -489,3 +489,38 @@ def sharpen(grey: np.ndarray) -> np.ndarray:
     p = np.pad(grey.astype(np.float64), 1, mode="edge")
     out = 5 * p[1:-1, 1:-1] - p[:-2, 1:-1] - p[2:, 1:-1] - p[1:-1, :-2] - p[1:-1, 2:]
     return np.clip(out, 0, 255).astype(np.uint8)
+
+
+def upscale_long_edge(a: np.ndarray, edge: int = 3000) -> tuple[np.ndarray, float]:
+    """Picture with its long edge at least ``edge`` pixels (cubic), and the factor; larger ones stay."""
+    h, w = a.shape[:2]
+    scale = edge / max(h, w)
+    if scale <= 1:
+        return a, 1.0
+
+    def weights(n, m):
+        at = (np.arange(m) + 0.5) * n / m - 0.5
+        base = np.floor(at).astype(int)
+        t = at - base
+        k = lambda d: np.where(d <= 1, 1.25 * d**3 - 2.25 * d**2 + 1, -0.75 * (d**3 - 5 * d**2 + 8 * d - 4))
+        return [(np.clip(base + j, 0, n - 1), k(np.abs(t - j))) for j in (-1, 0, 1, 2)]
+
+    nh, nw = round(h * scale), round(w * scale)
+    v = a.astype(np.float64)
+    extra = (1,) * (a.ndim - 2)
+    v = sum(v[i] * wt.reshape(-1, 1, *extra) for i, wt in weights(h, nh))
+    v = sum(v[:, i] * wt.reshape(1, -1, *extra) for i, wt in weights(w, nw))
+    return np.clip(np.rint(v), 0, 255).astype(a.dtype), scale
+
+
+def peak_map(image: np.ndarray, templates: list[np.ndarray]) -> np.ndarray:
+    """Pixel-wise best correlation over templates at their centres; -1 off the ink and where none fits."""
+    best = np.full(image.shape, -1.0)
+    for t in templates:
+        s = ncc(image, t)
+        if s.size:
+            y, x = t.shape[0] // 2, t.shape[1] // 2
+            view = best[y : y + s.shape[0], x : x + s.shape[1]]
+            np.maximum(view, s, out=view)
+    best[~image.astype(bool)] = -1.0
+    return best

@@ -404,3 +404,46 @@ def summary_stats(spark, sf):
 @query("top_shapes_per_flag", f"WITH {BLOB} SELECT flag, id, area FROM shape QUALIFY row_number() OVER (PARTITION BY flag ORDER BY area DESC, id) <= 50")
 def top_shapes_per_flag(spark, sf):
     return suppression.top_per_group(shapes(spark, sf), ["flag"], 50, [F.desc("area"), "id"]).select("flag", "id", "area")
+
+
+@query(
+    "inset_transforms",
+    """WITH p AS (SELECT r_regionkey AS chart_id, 1000.0::DOUBLE + 100 * r_regionkey AS pw, 800.0::DOUBLE AS ph, 20.0::DOUBLE + r_regionkey AS a, 0.002::DOUBLE AS b, 40.0::DOUBLE AS d, -0.0015::DOUBLE AS f FROM region),
+    i AS (SELECT n_nationkey, n_regionkey AS chart_id, 10 * n_nationkey AS x0, 7 * n_nationkey AS y0, 100.0::DOUBLE + n_nationkey AS w, 90.0::DOUBLE + 2 * n_nationkey AS h FROM nation)
+    SELECT n_nationkey, round(a + b * x0, 9) AS a, round(b / (w / pw), 9) AS b, round(d + f * y0, 9) AS d, round(f / (h / ph), 9) AS f FROM i JOIN p USING (chart_id)""",
+)
+def inset_transforms(spark, sf):
+    from chartstone.operators.detectors import inset_transform
+
+    r, k = F.col("r_regionkey"), F.col("n_nationkey")
+    zero = F.lit(0.0)
+    parents = load(spark, sf, "region").select(
+        r.alias("chart_id"), (1000.0 + 100 * r).alias("page_width"), F.lit(800.0).alias("page_height"), (20.0 + r).alias("a"), F.lit(0.002).alias("b"), zero.alias("c"), F.lit(40.0).alias("d"), zero.alias("e"), F.lit(-0.0015).alias("f")
+    )
+    insets = load(spark, sf, "nation").select("n_nationkey", F.col("n_regionkey").alias("chart_id"), (10 * k).alias("x0"), (7 * k).alias("y0"), (100.0 + k).alias("width"), (90.0 + 2 * k).alias("height"))
+    return inset_transform(insets, parents).select("n_nationkey", *[F.round(c, 9).alias(c) for c in "abdf"])
+
+
+@query(
+    "dot_candidates",
+    f"WITH {BLOB} SELECT id, area, round(least(1, 4 * pi() * area / (greatest(2.0 * (h + w), 1) ** 2)), 9) AS circularity FROM shape WHERE area BETWEEN 6 AND 140 AND least(1, 4 * pi() * area / (greatest(2.0 * (h + w), 1) ** 2)) >= 0.68",
+)
+def dot_candidates(spark, sf):
+    from chartstone.operators.detectors import circularity_of
+
+    c = circularity_of(F.col("area"), 2.0 * (F.col("h") + F.col("w")))
+    return shapes(spark, sf).filter(F.col("area").between(6, 140) & (c >= 0.68)).select("id", "area", F.round(c, 9).alias("circularity"))
+
+
+@query(
+    "payload_blocks",
+    """WITH b AS (SELECT c_nationkey AS chart_id, c_custkey AS ord, c_name AS text, c_custkey % 900 AS x0, c_custkey % 700 AS y0, (c_custkey % 37) / 3.0::DOUBLE AS size FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 40)
+    SELECT chart_id, ord, text, round(40 - 0.0015 * (y0 + 5.0::DOUBLE), 5) AS approx_lat, round(20 + 0.002 * (x0 + 15.0::DOUBLE), 5) AS approx_lon, round(size, 1) AS font_size FROM b""",
+)
+def payload_blocks(spark, sf):
+    from chartstone.operators.detectors import text_payload
+
+    k, zero = F.col("c_custkey"), F.lit(0.0)
+    b = load(spark, sf, "customer").select(F.col("c_nationkey").alias("chart_id"), k.alias("ord"), F.col("c_name").alias("text"), (k % 900).alias("x0"), (k % 700).alias("y0"), (k % 900 + 30).alias("x1"), (k % 700 + 10).alias("y1"), ((k % 37) / F.lit(3.0)).alias("size"))
+    t = load(spark, sf, "nation").select(F.col("n_nationkey").alias("chart_id"), F.lit(20.0).alias("a"), F.lit(0.002).alias("b"), zero.alias("c"), F.lit(40.0).alias("d"), zero.alias("e"), F.lit(-0.0015).alias("f"))
+    return text_payload(b, t, 40)
