@@ -25,15 +25,14 @@ def _follow(table: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) -> (id, to): the smallest vertex of each vertex's component.
 
-    A round hooks vertices to their smallest neighbour, doubles the pointers twice and contracts the edges.
+    A round hooks vertices to their smallest neighbour, follows the hooks three deep and contracts the edges.
     """
     order = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     live, maps = written(order(edges.filter("u <> v"))), []
     while not live.isEmpty():
         both = live.select(F.col("u").alias("id"), F.col("v").alias("n")).unionByName(live.select(F.col("v").alias("id"), F.col("u").alias("n")))
         hook = written(both.groupBy("id").agg(F.min("n").alias("n")).select("id", F.least("id", "n").alias("to")))
-        jump = written(_follow(hook, "to", hook))
-        jump = written(_follow(jump, "to", jump))
+        jump = written(_follow(_follow(hook, "to", hook), "to", hook))
         maps.append(jump)
         live = written(order(_follow(_follow(live, "u", jump), "v", jump).filter("u <> v")))
     if not maps:
