@@ -109,7 +109,7 @@ class LayerRule:
     aspect: tuple[float | None, float | None] = (None, None)
 
 
-#: Layer bounds (fixed values of the reference behaviour).
+#: Layer bounds (fixed values).
 LAYER_RULES = (
     LayerRule("airport", (20, 2500), (0.40, None), (None, 0.90)),
     LayerRule("airport_large", (2500, 50000), (0.25, None), (None, 0.98)),

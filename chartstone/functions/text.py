@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed patterns.
+#: Patterns (fixed values).
 FREQUENCY = r"\b(1[0-3]\d\.\d{1,3}|2\d{2}\.\d{1,3})(?:[^\d]|$)"
 ICAO = r"\b(L[FG][A-Z]{2}|EG[A-Z]{2}|EH[A-Z]{2}|LG[A-Z]{2})\b"
 LATITUDE = r"(?i)(\d{1,3})\s+(\d{1,2})\s+(\d{1,2})\s*([NS])"
@@ -22,12 +22,12 @@ HELIPAD = r"\bH\d+\b"
 AIRPORT_ELEVATION = r"(?i)ALT\s+AD\s*[:\s]\s*(\d+)"
 OBSTACLE_WORDS = "OBSTACLE OBST WARNING MAST TOWER CHIMNEY CRANE STACK PYLON ANTENNA".split()
 HELI_WORDS = "HELIPAD HELIPORT HELICOPTER".split()
-#: Service words in order of precedence.
+#: Service words in order of precedence (fixed values).
 SERVICES = (
     ("ARRIVAL", "APP"), ("ARRIVAL WEST", "APP"), ("ARRIVAL EAST", "APP"), ("TOWER WEST", "TWR"), ("TOWER EAST", "TWR"), ("TWR", "TWR"), ("TOWER", "TWR"), ("APP", "APP"),
     ("APPROACH", "APP"), ("GND", "GND"), ("GROUND", "GND"), ("ATIS", "ATIS"), ("AFIS", "FIS"), ("FIS", "FIS"), ("A/A", "other"),
 )
-#: Words that look like waypoint names and are none.
+#: Words that look like waypoint names and are none (fixed values).
 NOT_WAYPOINTS = (
     "VFR IFR AIP NIL TWR APP GND FIS NDB VOR DME RWY SIA ULM DEP SIV DTHR RFFS ACB AVT ZNM LINFO REES THR TMA CTR ATZ SID STAR GPS ILS LOC TXT ALT LAT LON LONG VAR OCA ATS ATT CAP VUE ACT "
     "ADD AGL ATC ADF AFF AFN AFS AGC AGR AGS OCH MSA MDA MKR MAG MAP LLZ FAF FAP FAT RVR TDZ TCH SDF PAR NPA IAF IAP DH DA AMDT CHG REFS INFO PAPI MEHT TORA TODA LDA ASD "
