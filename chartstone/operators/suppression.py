@@ -1,8 +1,8 @@
 """Suppression, pairing and clustering of detections.
 
 Greedy suppression looks sequential, yet its outcome inside one connected component of the conflict graph
-does not depend on other components. So conflicts are found by a radius join, components by hooking and
-contraction, and the greedy pass runs per component with the total order (score desc, id asc). Rows without a conflict
+does not depend on other components. So conflicts are found by a radius join, components by
+union-find inside large cells, then by hooking and contraction of what crosses them, and the greedy pass runs per component with the total order (score desc, id asc). Rows without a conflict
 never leave the JVM. A component that grows past one task's memory would need a chart whose detections overlap
 without a gap.
 """
@@ -17,24 +17,31 @@ from chartstone.operators.spatial import radius_join, theta_pairs
 from chartstone.operators.tables import written
 
 
+#: Side of the cells in which conflicts are merged before the graph is contracted, in radii.
+CELL_RADII = 64
+
+
 def _follow(table: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
     p = pointers.select(F.col("id").alias("_id"), F.col("to").alias("_to"))
     return table.join(p, F.col(column) == F.col("_id"), "left").withColumn(column, F.coalesce("_to", column)).drop("_id", "_to")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, local: DataFrame | None = None) -> DataFrame:
     """edges (u, v) -> (id, to): the smallest vertex of each vertex's component.
 
     A round hooks vertices to their smallest neighbour, follows the hooks three deep and contracts the edges.
+    ``local`` (id, to) may merge what is near beforehand; it must name every vertex.
     """
-    order = lambda df: df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    live, maps = written(order(edges.filter("u <> v"))), []
+    order = lambda df: df.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    contract = lambda df, to: order(_follow(_follow(df, "u", to), "v", to))
+    maps = [] if local is None else [local]
+    live = written(order(edges) if local is None else contract(edges, local))
     while not live.isEmpty():
         both = live.select(F.col("u").alias("id"), F.col("v").alias("n")).unionByName(live.select(F.col("v").alias("id"), F.col("u").alias("n")))
         hook = written(both.groupBy("id").agg(F.min("n").alias("n")).select("id", F.least("id", "n").alias("to")))
         jump = written(_follow(_follow(hook, "to", hook), "to", hook))
         maps.append(jump)
-        live = written(order(_follow(_follow(live, "u", jump), "v", jump).filter("u <> v")))
+        live = written(contract(live, jump))
     if not maps:
         return edges.sparkSession.createDataFrame([], "id long, to long")
     out = maps[-1]
@@ -43,6 +50,31 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def merged_in_cells(pairs: DataFrame) -> DataFrame:
+    """(id, to) for every vertex of pairs (u, v, cu, cv): components of the edges inside each cell, by union-find in one task a cell."""
+    inside = pairs.filter("cu = cv").select(F.col("cu").alias("cell"), "u", "v")
+    across = pairs.filter("cu <> cv")
+    alone = lambda c, i: across.select(F.col(c).alias("cell"), F.col(i).alias("u"), F.col(i).alias("v")).distinct()
+
+    def join(g: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[int, int] = {}
+
+        def find(i: int) -> int:
+            while parent.setdefault(i, i) != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for u, v in zip(g["u"].tolist(), g["v"].tolist()):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        return pd.DataFrame([(i, find(i)) for i in list(parent)], columns=["id", "to"])
+
+    every = inside.unionByName(alone("cu", "u")).unionByName(alone("cv", "v"))
+    return written(every.groupBy("cell").applyInPandas(join, "id long, to long"))
+
+
 def greedy_nms(df: DataFrame, radius: float, pair_radius: Column | None = None) -> DataFrame:
     """The rows that greedy suppression keeps: by falling score (ties by id), a row goes if a kept one is strictly closer than the limit.
 
@@ -52,8 +84,9 @@ def greedy_nms(df: DataFrame, radius: float, pair_radius: Column | None = None)
     near = None if pair_radius is None else F.hypot(F.col("l_x") - F.col("r_x"), F.col("l_y") - F.col("r_y")) < pair_radius
     first = F.col("l_id") < F.col("r_id")
     pairs = radius_join(df, df, radius, extra=first if near is None else first & near)
-    edges = written(pairs.select(F.col("l_id").alias("u"), F.col("r_id").alias("v")).distinct())
-    roots = components(edges)
+    cell = lambda p: F.struct(F.floor(F.col(f"{p}_x") / (CELL_RADII * radius)).alias("cx"), F.floor(F.col(f"{p}_y") / (CELL_RADII * radius)).alias("cy"))
+    edges = written(pairs.select(F.col("l_id").alias("u"), F.col("r_id").alias("v"), cell("l").alias("cu"), cell("r").alias("cv")).distinct())
+    roots = components(edges.select("u", "v"), merged_in_cells(edges))
     group = lambda name: roots.select(F.col("id").alias("_id"), F.col("to").alias(name))
     scored = df.select("id", "score").join(group("a"), F.col("id") == F.col("_id")).select("id", "score", "a")
     links = edges.join(group("b"), F.col("u") == F.col("_id")).select("u", "v", "b")
