@@ -106,9 +106,15 @@ def scan_part(queries: np.ndarray, part: np.ndarray, rotate: np.ndarray, keep: i
     return out
 
 
+def _in_range(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither vanish nor overflow; exact, and without effect on a cosine."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=-1, keepdims=True))[1])
+
+
 def cosine(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosine in double precision, on the vectors as they are."""
-    q, rows = q.astype(np.float64), rows.astype(np.float64)
+    q, rows = _in_range(q), _in_range(rows)
     return (rows * q).sum(1) / (math.sqrt((q * q).sum()) * np.sqrt((rows * rows).sum(1)))
 
 
