@@ -125,7 +125,7 @@ class ByteCNN:
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         n = len(x)
-        raw, at = self.pooled(x, self._row_tables(), places=True)
+        raw, at = self.pooled(x, self.tables(), places=True)
         hidden = np.maximum(raw, 0)
         z = hidden @ self.out + self.out_bias
         p = np.exp(z - z.max(1, keepdims=True))
@@ -145,9 +145,6 @@ class ByteCNN:
             d_conv.append(d_kernel)
         return [d_embed, *d_conv, d_hidden.sum(0), hidden.T @ p, p.sum(0)]
 
-    def _row_tables(self):
-        return self.tables()
-
     def predict(self, text: str | None, tables) -> tuple[str, float]:
         if not text or not self.labels or not LETTER.search(text):
             return UNKNOWN, 0.0
@@ -206,9 +203,6 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return model
 
 
-_TABLES: dict[int, list] = {}
-
-
 def predict(df: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) over whole texts; one pass, no shuffle. The model is some 30 kB."""
 

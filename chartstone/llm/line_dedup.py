@@ -38,11 +38,10 @@ from chartstone.llm.common import remove, written
 MIN_WORDS = 50
 SPACE = r"\x20\x09-\x0D"
 ENDS = " \t\n\x0b\x0c\r"
-#: A row's key: its id and the hash of its text.
-KEY = "k struct<doc:bigint,th:bigint>"
 
 
 def key_of(id_col: Column, text_col: Column) -> Column:
+    """A row's key: its id and the hash of its text."""
     return F.struct(id_col.cast("long").alias("doc"), F.xxhash64(text_col).alias("th"))
 
 
