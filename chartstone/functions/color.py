@@ -60,7 +60,9 @@ FAMILIES = (
 COVERAGE_BOUNDS = (("magenta", 0.5, 8.0), ("blue", 1.0, 15.0), ("black", 5.0, 40.0))
 
 
-def family_flags(r: Column, g: Column, b: Column, families=FAMILIES) -> Column:
-    """array of the names of all families a pixel belongs to: families may overlap."""
-    c = hsv(r, g, b)
+def family_flags(c: Column, families=FAMILIES) -> Column:
+    """array of the names of all families a pixel belongs to: families may overlap.
+
+    c is a column that holds ``hsv``: it is used many times, so compute it in a projection of its own.
+    """
     return F.array_compact(F.array(*[F.when(f.matches(c), F.lit(f.name)) for f in families]))

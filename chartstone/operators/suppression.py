@@ -19,6 +19,8 @@ from chartstone.operators.tables import written
 
 #: Side of the cells in which conflicts are merged before the graph is contracted, in radii.
 CELL_RADII = 64
+#: Rows with conflicts that one greedy pass takes, about.
+BUCKET_ROWS = 20_000
 
 
 def _follow(table: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
@@ -87,18 +89,20 @@ def greedy_nms(df: DataFrame, radius: float, pair_radius: Column | None = None)
     cell = lambda p: F.struct(F.floor(F.col(f"{p}_x") / (CELL_RADII * radius)).alias("cx"), F.floor(F.col(f"{p}_y") / (CELL_RADII * radius)).alias("cy"))
     edges = written(pairs.select(F.col("l_id").alias("u"), F.col("r_id").alias("v"), cell("l").alias("cu"), cell("r").alias("cv")).distinct())
     roots = components(edges.select("u", "v"), merged_in_cells(edges))
-    group = lambda name: roots.select(F.col("id").alias("_id"), F.col("to").alias(name))
+    # components are independent, so a task takes many at once
+    buckets = max(1, roots.count() // BUCKET_ROWS)
+    group = lambda name: roots.select(F.col("id").alias("_id"), F.pmod(F.xxhash64("to"), buckets).alias(name))
     scored = df.select("id", "score").join(group("a"), F.col("id") == F.col("_id")).select("id", "score", "a")
     links = edges.join(group("b"), F.col("u") == F.col("_id")).select("u", "v", "b")
 
     def choose(key, nodes: pd.DataFrame, conflicts: pd.DataFrame) -> pd.DataFrame:
         against: dict[int, list[int]] = {}
-        for u, v in zip(conflicts["u"], conflicts["v"]):
+        for u, v in zip(conflicts["u"].tolist(), conflicts["v"].tolist()):
             against.setdefault(u, []).append(v)
             against.setdefault(v, []).append(u)
         kept: set[int] = set()
-        for i in nodes.sort_values(["score", "id"], ascending=[False, True])["id"]:
-            if not any(j in kept for j in against.get(i, ())):
+        for i in nodes.sort_values(["score", "id"], ascending=[False, True])["id"].tolist():
+            if kept.isdisjoint(against.get(i, ())):
                 kept.add(i)
         gone = [i for i in nodes["id"] if i not in kept]
         return pd.DataFrame({"gone": pd.Series(gone, dtype="int64")})

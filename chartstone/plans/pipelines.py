@@ -209,7 +209,8 @@ def layers(image_tiles: DataFrame, families=color.FAMILIES) -> DataFrame:
             yield pd.DataFrame(rows, columns=["chart_id", "r", "g", "b", "n"])
 
     counts = image_tiles.mapInPandas(run, "chart_id string, r int, g int, b int, n long").groupBy("chart_id", "r", "g", "b").agg(F.sum("n").alias("n"))
-    flags = color.family_flags(F.col("r"), F.col("g"), F.col("b"), families)
+    counts = counts.select("chart_id", "n", color.hsv(F.col("r"), F.col("g"), F.col("b")).alias("c"))
+    flags = color.family_flags(F.col("c"), families)
     total = counts.groupBy("chart_id").agg(F.sum("n").alias("total"))
     per = counts.select("chart_id", "n", F.explode(flags).alias("family")).groupBy("chart_id", "family").agg(F.sum("n").alias("n"))
     return per.join(total, "chart_id").select("chart_id", "family", (100.0 * F.col("n") / F.col("total")).alias("percent"))

@@ -135,8 +135,8 @@ def circle_classes(spark, sf):
     SELECT band, family, count(*) AS n FROM f GROUP BY 1, 2""",
 )
 def hsv_range_mask(spark, sf):
-    flags = color.family_flags(F.col("r"), F.col("g"), F.col("b"))
-    return pixels(spark, sf).select("band", F.explode(flags).alias("family")).groupBy("band", "family").agg(F.count("*").alias("n"))
+    p = pixels(spark, sf).select("band", color.hsv(F.col("r"), F.col("g"), F.col("b")).alias("c"))
+    return p.select("band", F.explode(color.family_flags(F.col("c"))).alias("family")).groupBy("band", "family").agg(F.count("*").alias("n"))
 
 
 @query(
