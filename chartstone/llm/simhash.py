@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from chartstone.llm.common import remove, written
 from chartstone.llm.components import components
+from chartstone.llm.near import near_copies
 
 SHINGLE = 4
 SEED = 42
@@ -118,9 +119,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their component, with the columns of df."""
-    found = near_duplicates(df, id_col, text_col)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    """The documents with the smallest id of their group of near copies (``near``), with the columns of df."""
+    found = near_copies(df, id_col, text_col)
+    first = written(found.groupBy("component").agg(F.min("doc_id").alias("first")).withColumnRenamed("component", "_c"), "first")
+    gone = found.join(first, F.col("component") == F.col("_c")).filter("doc_id <> first").select(F.col("doc_id").alias("_gone")).distinct()
     gone = written(gone, "gone")
     # by shuffle at every size: the list grows with the corpus
     return df.join(gone.hint("shuffle_hash"), df[id_col] == gone["_gone"], "left_anti")

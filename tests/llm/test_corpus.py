@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from chartstone.llm import ann, components, langid, licenses, line_dedup, quality, simhash
+from chartstone.llm import ann, components, langid, licenses, line_dedup, near, quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, words string, n_chars long"
 EDGES = [
@@ -268,6 +268,42 @@ def test_line_dedup_edges(spark, edges):
     assert line_dedup.line_table(edges).count() == edges.count()
 
 
+def plain_shingles(text):
+    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def test_near_copies_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(400)]
+    line = [f"c{i}" for i in range(12)]  # a line that many texts hold
+    texts = []
+    for i in range(40):
+        base = rng.choices(words, k=rng.choice((3, 5, 20, 30, 60, 120, 250))) + (line if i % 2 else [])
+        for _ in range(rng.randrange(1, 8)):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy[: len(copy) - rng.randrange(0, 3)]))
+    rng.shuffle(texts)
+    docs = list(enumerate(texts)) + [(len(texts), None), (len(texts) + 1, "")]
+    sets = {i: plain_shingles(t) for i, t in docs}
+    root, far = {i: i for i in sets}, 0
+    for i in sets:
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if 5 * len(a & b) >= 4 * len(a | b):
+                far += (simhash.fingerprint(docs[i][1]) ^ simhash.fingerprint(docs[j][1])).bit_count() > 4
+                x, y = root[i], root[j]
+                root = {k: min(x, y) if r in (x, y) else r for k, r in root.items()}
+    assert far > 20  # pairs that four bits miss
+    want = sorted(set(root.values()))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for common in (10, 10**9):  # the order of the shingles moves no result
+        monkeypatch.setattr(near, "COMMON", common)
+        assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == want
+
+
 # --- pipeline
 
 
