@@ -20,9 +20,6 @@ from chartstone.operators import entities, fit, spatial, suppression, tiles
 from chartstone.operators import kernels as K
 from chartstone.operators.tables import written
 
-#: Components larger than this in a direction keep null shape features (they are frames and long lines).
-MEASURE_LIMIT = 4096
-
 
 def binarise(image_tiles: DataFrame, window: int = 25, k: float = 0.2) -> DataFrame:
     """RGB or grey tiles (halo of half the window or more) to ink masks."""
@@ -83,18 +80,11 @@ def components(mask_tiles: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
     runs = written(tiles.components_across(mask_tiles, tile))
 
     def measure(key, g: pd.DataFrame) -> pd.DataFrame:
-        y0, x0, y1, x1 = g["y"].min(), g["x0"].min(), g["y"].max() + 1, g["x1"].max()
-        part = np.zeros((y1 - y0, x1 - x0), bool)
-        for y, a, b in zip(g["y"], g["x0"], g["x1"]):
-            part[y - y0, a - x0 : b - x0] = True
-        (m,) = K.region_table(part.astype(int), 1)
+        m = K.run_measures(g["y"].to_numpy(), g["x0"].to_numpy(), g["x1"].to_numpy())
         return pd.DataFrame([(*key, m["perimeter"], m["solidity"], m["eccentricity"], m["euler"])], columns=["chart_id", "label", "perimeter", "solidity", "eccentricity", "euler"])
 
     stats = written(tiles.component_stats(runs))
-    size = F.greatest(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0"))
-    small = stats.filter(size <= MEASURE_LIMIT).select(F.col("chart_id").alias("_c"), F.col("label").alias("_l"))
-    fit_runs = runs.join(small, (F.col("chart_id") == F.col("_c")) & (F.col("label") == F.col("_l"))).select(*runs.columns)
-    shape = fit_runs.groupBy("chart_id", "label").applyInPandas(measure, "chart_id string, label long, perimeter double, solidity double, eccentricity double, euler long")
+    shape = runs.groupBy("chart_id", "label").applyInPandas(measure, "chart_id string, label long, perimeter double, solidity double, eccentricity double, euler long")
     table = stats.join(shape, ["chart_id", "label"], "left")
     h, w = F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")
     return runs, table.withColumns(

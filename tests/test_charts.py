@@ -70,6 +70,22 @@ def test_measured_components(spark, scene):
     assert got == want
 
 
+def test_large_components_are_measured(spark):
+    m = np.zeros((60, 4300), bool)
+    m[10, 3:4290] = m[10:50, 4000] = m[49, 2000:4001] = True
+    m[20:30, 4000:4020] = True
+    m[23:26, 4005:4010] = False
+    _, table = P.components(tiles.cut(spark, as_images(spark, c=mask_image(m)), 512), 512)
+    (want,) = K.region_table(*K.label(m))
+    (got,) = table.collect()
+    names = ("perimeter", "solidity", "eccentricity", "euler")
+    assert [round(got[n], 6) for n in names] == [round(want[n], 6) for n in names]
+    y, x = np.nonzero(m)
+    for cells in (1, 20_000, 1 << 20):  # bands of one row, of some, and one band
+        part = K.run_measures(y, x, x + 1, cells)
+        assert [round(part[n], 6) for n in names] == [round(want[n], 6) for n in names]
+
+
 def test_binarise_equals_whole_chart(spark):
     rng = np.random.default_rng(0)
     grey = np.clip(200 + rng.normal(0, 8, (120, 140)), 0, 255)
