@@ -11,17 +11,17 @@ lookup and a maximum for each position.
 
 Inputs of a prediction are the text's bytes alone. Defined results: a null text, or one without a
 letter, is ``und`` with score 0; without any labelled row everything is ``und``; an empty table gives no rows;
-repeated rows get the same prediction.
+repeated rows get the same prediction, up to rounding; of equal scores the first label wins; a very long text goes through all its windows
+in slices; other columns pass through ``keep_identified`` whatever their names, and the other results read only those named.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 256
@@ -33,7 +33,10 @@ TRAIN_WINDOWS = 4
 EPOCHS = 8
 BATCH = 64
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Windows that go through the tables at once.
+SLICE = 64
+#: Languages that are learned, the most frequent ones: what bounds the labels that the driver holds.
+MOST_LANGUAGES = 1000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,6 +44,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter (Unicode category L)."""
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def windows_of(data: bytes) -> np.ndarray:
     """(n, WINDOW) bytes over the whole text, the last row padded with zeros."""
     n = max(1, -(-len(data) // WINDOW))
@@ -145,35 +153,62 @@ class ByteCNN:
             d_conv.append(d_kernel)
         return [d_embed, *d_conv, d_hidden.sum(0), hidden.T @ p, p.sum(0)]
 
-    def predict(self, text: str | None, tables) -> tuple[str, float]:
-        if not text or not self.labels or not LETTER.search(text):
-            return UNKNOWN, 0.0
-        data = text.encode()
-        x = windows_of(data)
-        total = np.zeros(len(self.labels))
-        for a in range(0, len(x), 64):  # a batch of windows at a time, whatever the text's length
-            part = self.log_probabilities(x[a : a + 64], tables)
-            weight = np.full(len(part), WINDOW, np.float64)
-            if a + len(part) == len(x):
-                weight[-1] = len(data) - (len(x) - 1) * WINDOW
-            total += weight @ part
-        mean = total / len(data)
-        p = np.exp(mean - mean.max())
-        k = int(p.argmax())
-        return self.labels[k], float(p[k] / p.sum())
+    def predict(self, texts: list[str | None], tables) -> list[tuple[str, float]]:
+        """(language, score) of each text.
+
+        The windows of all texts stand end to end and go through the tables in slices of SLICE, whatever the texts' lengths.
+        """
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        rows = [i for i, t in enumerate(texts) if self.labels and has_letter(t)]
+        if not rows:
+            return out
+        data = [texts[i].encode() for i in rows]
+        size = np.array([len(d) for d in data], np.int64)
+        count = -(-size // WINDOW)
+        ends = np.cumsum(count)
+        total = np.zeros((len(rows), len(self.labels)))
+        held, first, done = [], 0, 0  # texts not yet through, the first of them, windows that are through
+        for k, d in enumerate(data):
+            held.append(d)
+            if ends[k] - done < 8 * SLICE and k < len(data) - 1:
+                continue
+            x = np.concatenate([windows_of(h) for h in held])
+            owner = np.repeat(np.arange(first, k + 1), count[first : k + 1])
+            weight = np.full(len(x), WINDOW, np.float64)
+            last = ends[first : k + 1] - done - 1
+            weight[last] = size[first : k + 1] - (count[first : k + 1] - 1) * WINDOW
+            for a in range(0, len(x), SLICE):
+                part = self.log_probabilities(x[a : a + SLICE], tables) * weight[a : a + SLICE, None]
+                own = owner[a : a + SLICE]
+                starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                total[own[starts]] += np.add.reduceat(part, starts, axis=0)
+            held, first, done = [], k + 1, int(ends[k])
+        mean = total / size[:, None]
+        p = np.exp(mean - mean.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best = p.argmax(axis=1)
+        for i, k, score in zip(rows, best, p[np.arange(len(rows)), best]):
+            out[i] = (self.labels[k], float(score))
+        return out
+
+
+def spark_shares(df: DataFrame, shares: dict[str, int]) -> DataFrame:
+    """(_lang, _share), a row for each learned language: MOST_LANGUAGES at most."""
+    return df.sparkSession.createDataFrame(list(shares.items()), "_lang string, _share int")
 
 
 def training_windows(df: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int = TRAIN_DOCS) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, label numbers and labels of the bounded sample; held-out rows never enter."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(~held_out(F.col("id")) & F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    by_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
+    counts = {r.lang: r["count"] for r in by_lang.collect()}
     labels = sorted(counts)
     if not labels:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     hashed = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
-    share = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(int(min(1.0, 1.3 * docs / counts[k]) * 1_000_000)))])
-    chosen = rows.filter(hashed < F.element_at(share, F.col("lang")))
+    share = spark_shares(df, {k: int(min(1.0, 1.3 * docs / counts[k]) * 1_000_000) for k in labels})
+    chosen = rows.join(F.broadcast(share), rows["lang"] == share["_lang"]).filter(hashed < F.col("_share")).select("id", "text", "lang")
 
     def cut(batches):
         for batch in batches:
@@ -189,8 +224,10 @@ def training_windows(df: DataFrame, id_col: str, text_col: str, lang_col: str, d
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", pa.int64()), ("lang", pa.string()), ("w", pa.binary())]))
 
     got = chosen.select(F.col("id").cast("long"), "text", "lang").mapInArrow(cut, "id long, lang string, w binary")
-    got = got.limit(2 * docs * TRAIN_WINDOWS * len(labels)).toPandas().sort_values(["lang", "id", "w"])
-    got = got.groupby("lang").head(docs * TRAIN_WINDOWS)
+    # repeated ids could make a hash range hold any number of rows: the first by (hash, id, window) of each language stay
+    least = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "w")
+    got = got.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= docs * TRAIN_WINDOWS)
+    got = got.select("id", "lang", "w").toPandas().sort_values(["lang", "id", "w"])
     x = np.frombuffer(b"".join(got["w"]), np.uint8).reshape(-1, WINDOW)
     return x, np.array([labels.index(k) for k in got["lang"]], np.int64), labels
 
@@ -209,7 +246,7 @@ def predict(df: DataFrame, model: ByteCNN, id_col: str = "doc_id", text_col: str
     def run(batches):
         tables = model.tables()
         for batch in batches:
-            found = [model.predict(t.as_py(), tables) for t in batch.column(2)]
+            found = model.predict(batch.column(2).to_pylist(), tables)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
@@ -226,11 +263,12 @@ def language_table(df: DataFrame) -> DataFrame:
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
     """The documents whose language is found with at least ``least``, with the columns of df; in one pass over the rows."""
     model = train(df, id_col, text_col, lang_col)
+    names = df.columns
 
     def run(batches):
         tables = model.tables()
         for batch in batches:
-            found = [model.predict(t.as_py(), tables) for t in batch.column(batch.schema.get_field_index(text_col))]
+            found = model.predict(batch.column(names.index(text_col)).to_pylist(), tables)
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -21,18 +21,17 @@ Where a run overlaps a later copy of itself, its lines count as that copy's. Del
 break; if no line with a word is left, the text becomes empty.
 
 Defined results: null and empty texts stay as they are; rows without an id stay as they are; rows equal in id
-and text are one document; rows that share an id alone are documents of their own; an empty table gives no rows.
+and text are one document; rows that share an id alone are documents of their own; an empty table gives no rows; a very long text is
+one row of line ids; other columns pass through ``dedup_lines`` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartstone.llm.common import remove, written
+from chartstone.llm.common import free_names, own_columns, remove, written
 
 #: A repeated run is deleted if it holds more words than this.
 MIN_WORDS = 50
@@ -197,12 +196,13 @@ def without_lines(text: str, gone: set[int]) -> str:
     return "\n".join(out) if some else ""
 
 
-def with_clean_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """df with ``_ld_text`` (the text less later copies) and ``_ld_gone`` (how many lines went)."""
-    gone = removable(df, id_col, text_col, min_words).select(F.col("k").alias("_ld_k"), F.col("gone").alias("_ld_lines"))
-    keyed = df.withColumn("_ld_key", key_of(F.col(id_col), F.col(text_col)))
+def with_clean_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, str, str]:
+    """df with two columns more, and their names: the text less later copies, and how many lines went."""
+    key, other, lines, cleaned, count = free_names(df, "key", "other", "lines", "cleaned", "count")
+    gone = removable(df, id_col, text_col, min_words).select(F.col("k").alias(other), F.col("gone").alias(lines))
+    keyed = df.withColumn(key, key_of(F.col(id_col), F.col(text_col)))
     # by shuffle at every size: the lines to delete grow with the corpus, and texts are not sorted for it
-    joined = keyed.join(gone.hint("shuffle_hash"), F.col("_ld_key") == F.col("_ld_k"), "left")
+    joined = keyed.join(gone.hint("shuffle_hash"), F.col(key) == F.col(other), "left")
 
     @F.pandas_udf("string")
     def clean(text, lines):
@@ -210,61 +210,37 @@ def with_clean_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return pd.Series([t if x is None else without_lines(t, set(x.tolist())) for t, x in zip(text, lines)], dtype=object)
 
-    cleaned = F.when(F.col("_ld_lines").isNull(), F.col(text_col)).otherwise(clean(F.when(F.col("_ld_lines").isNotNull(), F.col(text_col)), F.col("_ld_lines")))
-    return joined.withColumn("_ld_text", cleaned).withColumn("_ld_gone", F.coalesce(F.size("_ld_lines"), F.lit(0))).drop("_ld_key", "_ld_k", "_ld_lines")
+    changed = F.col(lines).isNotNull()
+    text = F.when(changed, clean(F.when(changed, F.col(text_col)), F.col(lines))).otherwise(F.col(text_col))
+    out = joined.withColumns({cleaned: text, count: F.coalesce(F.size(lines), F.lit(0))}).drop(key, other, lines)
+    return out, cleaned, count
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The documents less the later copies of repeated runs, with the columns of df; ``length_col`` follows the text if it is there."""
-    out = with_clean_text(df, id_col, text_col)
-    changed = F.col("_ld_gone") > 0
+    out, cleaned, count = with_clean_text(df, id_col, text_col)
     columns = []
-    for c in df.columns:
-        if c == text_col:
-            columns.append(F.col("_ld_text").alias(c))
-        elif c == length_col:
-            columns.append(F.when(changed, F.char_length("_ld_text").cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
+    for name, column in zip(df.columns, own_columns(df)):
+        if name == text_col:
+            column = F.col(cleaned).alias(name)
+        elif name == length_col:
+            column = F.when(F.col(count) > 0, F.char_length(cleaned).cast(df.schema[name].dataType)).otherwise(column).alias(name)
+        columns.append(column)
     return out.select(*columns)
 
 
 def line_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_removed, n_chars_left, text_md5) for each document."""
-    out = with_clean_text(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    out, cleaned, count = with_clean_text(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
     return out.select(
         "doc_id",
         F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"),
-        F.col("_ld_gone").cast("long").alias("n_removed"),
-        F.char_length("_ld_text").cast("long").alias("n_chars_left"),
-        F.md5(F.col("_ld_text").cast("binary")).alias("text_md5"),
+        F.col(count).cast("long").alias("n_removed"),
+        F.char_length(cleaned).cast("long").alias("n_chars_left"),
+        F.md5(F.col(cleaned).cast("binary")).alias("text_md5"),
     )
 
 
-def brute_force(docs: list[tuple[int, str | None]], min_words: int = MIN_WORDS) -> dict[int, str | None]:
-    """The same result for unique ids by comparing every pair of places: for tests on small input."""
-    kept = [(i, t) for i, t in sorted(docs, key=lambda x: x[0]) if t is not None]
-    lines = {i: [x.strip(ENDS) for x in t.split("\n") if x.strip(ENDS)] for i, t in kept}
-    count = {i: [len(re.split(f"[{SPACE}]+", x)) for x in ls] for i, ls in lines.items()}
-    places = [(i, p) for i in lines for p in range(len(lines[i]))]
-    by_line: dict[str, list[tuple[int, int]]] = {}
-    for i, p in places:
-        by_line.setdefault(lines[i][p], []).append((i, p))
-    gone: dict[int, set[int]] = {i: set() for i in lines}
-    for i, p in places:
-        best = 0
-        for j, q in by_line[lines[i][p]]:
-            if (j, q) >= (i, p):
-                break
-            n = 0
-            while p + n < len(lines[i]) and q + n < len(lines[j]) and lines[i][p + n] == lines[j][q + n]:
-                n += 1
-            best = max(best, n)
-        if sum(count[i][p : p + best]) > min_words:
-            gone[i].update(range(p, p + best))
-    return {i: t if t is None or not gone[i] else without_lines(t, gone[i]) for i, t in docs}
-
-
 def oracle(source: str = "documents", min_words: int = MIN_WORDS) -> str:
     """DuckDB SQL of ``line_table`` for unique ids: equal lines are paired with earlier ones and runs are islands on their diagonals."""
     return rf"""

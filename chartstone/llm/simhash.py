@@ -11,12 +11,13 @@ meets in each variant that hides its difference and is reported in one alone: th
 at most one differing bit, at that bit, or at the segment's first bit if none differs.
 
 Scale: exact duplicates of a fingerprint collapse before the join, so groups of copies cost one row;
-pairs are verified inside the join, and only links leave it. Links of the same component repeat
-within very dense groups of distinct fingerprints alone. Components come from ``components``.
+pairs are verified inside the join, and only links leave it. Each variant's members are held against its smallest one first, and
+only what that leaves in different components is paired, so dense groups are stars. Components come from ``components``.
 
-Defined results: null and empty texts have fingerprint zero and link like any other; rows that share a
-doc_id share a component; a null doc_id gets the smallest id that links to its fingerprint; an empty table
-gives no rows.
+Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows share a component; a row with a
+null doc_id gets the smallest id of its component, null if no row of it has an id; rows that share a doc_id but not the text
+go by their own fingerprints; a very long text is hashed in parts of 32,768 shingles; an empty table gives no rows; only the id and text
+columns are read, so others may have any name, and ``keep_first`` returns them untouched.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartstone.llm.common import remove, written
+from chartstone.llm.common import free_names, own_columns, remove, written
 from chartstone.llm.components import components
 from chartstone.llm.near import near_copies
 
@@ -91,41 +92,90 @@ def _reported_at(a: Column, b: Column) -> Column:
     return out
 
 
-def links(nodes: DataFrame, max_different: int = MAX_DIFFERENT) -> DataFrame:
-    """(u, v) for each pair of different fingerprints in nodes (fp, node) within ``max_different`` bits, u < v by fingerprint."""
-    index = nodes.select("fp", "node", F.explode(variants(F.col("fp"))).alias("key"))
-    a, b = index.alias("a"), index.alias("b")
+def _verified(max_different: int) -> Column:
+    """Whether a.fp and b.fp link."""
+    return F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_different
+
+
+def links(prints: DataFrame, max_different: int = MAX_DIFFERENT) -> DataFrame:
+    """A written table (u, v) of links between different fingerprints (fp), within ``max_different`` bits: its components are those of all such pairs.
+
+    First every fingerprint is held against the smallest that shares a variant with it. What these links join needs no further
+    comparison, so a dense group of m fingerprints costs 64 m rows, not m * m pairs. Then only the members of a variant that are still in
+    different components are paired.
+    """
+    spark = prints.sparkSession
+    index = prints.select("fp", F.explode(variants(F.col("fp"))).alias("key"))
+    hubs = index.groupBy("key").agg(F.min("fp").alias("fp"), F.max("fp").alias("most")).filter("fp < most").select("key", "fp")
+    hubs = written(hubs, "hubs")
+    a, b = hubs.alias("a"), index.alias("b")
+    star = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _verified(max_different))
+    star = written(star.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct(), "star")
+    roots = components(star)
+    # only the variants that more than one fingerprint has, with their components
+    placed = index.join(hubs.select(F.col("key").alias("_key")), F.col("key") == F.col("_key"), "left_semi")
+    placed = placed.join(roots, F.col("fp") == F.col("id"), "left").select("key", "fp", F.coalesce("to", "fp").alias("to"))
+    placed = written(placed, "placed")
+    a, b = placed.alias("a"), placed.alias("b")
     fa, fb = F.col("a.fp"), F.col("b.fp")
     on = (
         (F.col("a.key") == F.col("b.key"))
         & (fa < fb)
-        & (F.bit_count(fa.bitwiseXOR(fb)) <= max_different)
+        & (F.col("a.to") != F.col("b.to"))
+        & _verified(max_different)
         & (F.shiftright(F.col("a.key"), 32) == _reported_at(fa, fb))
     )
-    return a.join(b.hint("merge"), on).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    across = a.join(b.hint("merge"), on).select(fa.alias("u"), fb.alias("v"))
+    out = written(star.unionByName(across), "links")
+    for old in (hubs, star, placed):
+        remove(spark, old.written_to)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id), a row for each document."""
+    spark = df.sparkSession
     prints = written(fingerprints(df, id_col, text_col), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    edges = written(links(nodes), "links")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    edges = links(nodes.select("fp"))
     roots = components(edges)
-    remove(df.sparkSession, edges.written_to)
-    named = nodes.join(roots, nodes["node"] == roots["id"], "left").select(F.col("fp").alias("_fp"), F.coalesce("to", "node").alias("component_id"))
+    remove(spark, edges.written_to)
+    placed = nodes.join(roots, nodes["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("to", "fp").alias("root"))
+    placed = written(placed, "placed")
+    # the vertices are fingerprints, so one that null ids alone hold is a vertex too
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
+    named = placed.join(named, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
     named = written(named, "named")
+    for old in (nodes, placed):
+        remove(spark, old.written_to)
     # both sides come straight from files, so adaptive execution may split a fingerprint that very many share
     return prints.join(named, prints["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their group of near copies (``near``), with the columns of df."""
+    """One row of each group of near copies (``near``), with the columns of df.
+
+    It is the row with the smallest id, nulls last, then text hash, then hash of the whole row: rows that share an id are told apart by
+    their texts, and of rows that share both one stays.
+    """
+    spark = df.sparkSession
     found = near_copies(df, id_col, text_col)
-    first = written(found.groupBy("component").agg(F.min("doc_id").alias("first")).withColumnRenamed("component", "_c"), "first")
-    gone = found.join(first, F.col("component") == F.col("_c")).filter("doc_id <> first").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = written(gone, "gone")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
+    first = written(found.groupBy(F.col("component").alias("_c")).agg(F.min(place).alias("first")), "first")
+    key, gone_key, row = free_names(df, "key", "gone", "row")
+    gone = found.join(first, F.col("component") == F.col("_c")).filter(place != F.col("first"))
+    gone = written(gone.select(place.alias(gone_key)).distinct(), "gone")
+    remove(spark, first.written_to)
+    remove(spark, found.written_to)
+    doc = F.col(id_col).cast("long")
+    keyed = df.withColumn(key, F.struct(doc.isNull().alias("unnamed"), doc.alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th")))
+    # repeated rows first: the limit by group works before the shuffle, so a row that very many repeat is no hot key
+    hashed = [c for c, (_, kind) in zip(own_columns(df), df.dtypes) if "map<" not in kind and "variant" not in kind]
+    by_key = Window.partitionBy(key).orderBy(F.xxhash64(*hashed))
+    single = keyed.withColumn(row, F.row_number().over(by_key)).filter(F.col(row) == 1)
     # by shuffle at every size: the list grows with the corpus
-    return df.join(gone.hint("shuffle_hash"), df[id_col] == gone["_gone"], "left_anti")
+    left = single.join(gone.hint("shuffle_hash"), F.col(key) == F.col(gone_key), "left_anti")
+    return left.select(*own_columns(df))
 
 
 def simhash_table(df: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ for all rules of all URLs of a batch at once, 64 states a machine word. URLs are
 position, longest first, so short URLs drop out of the front and memory is the bytes of the batch.
 
 Defined results: a null url, or one without '://', has an empty host and path; no host rule fits
-those, and the globs judge the empty string. Rules that tie in length: the first in the list wins.
+those, and the globs judge the empty string. Rules that tie in length: the first in the list wins. Repeated rows are judged
+each by itself; an empty table gives no rows; a very long url is judged whole, at the cost of a step a byte;
+only the id and url columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -156,24 +158,29 @@ class UrlJudge:
         quoted = [re.sub(r"([*?\\])", r"\\\1", f"{h}{p}") for h, p, _ in host_rules]
         patterns = [g for q in quoted for g in (q + "**", "*." + q + "**")] + [g for g, _ in glob_rules]
         self.automaton = GlobAutomaton(patterns)
-        # columns by falling length, so that the first that matches is the longest
+        # numbers by falling length, so that the first that matches is the longest; equal lengths: the first in the list
         self._rule_order = sorted(range(len(self.rules)), key=lambda i: -len(self.rules[i][0]))
         self._glob_order = sorted(range(len(self.globs)), key=lambda i: -len(self.globs[i][0]))
 
     def judge(self, hosts: list[str], paths: list[str]) -> tuple[list, list, list]:
         hit = self.automaton.match([(h + p).encode() for h, p in zip(hosts, paths)])
         r = len(self.rules)
-        by_rule = hit[:, 0 : 2 * r : 2] | hit[:, 1 : 2 * r : 2]
-        by_glob = hit[:, 2 * r :]
-        rule, verdict, glob = [], [], []
-        for i in range(len(hosts)):
-            k = next((k for k in self._rule_order if by_rule[i, k]), None)
-            g = next((g for g in self._glob_order if by_glob[i, g]), None)
-            rule.append(None if k is None else self.rules[k][0])
-            glob.append(None if g is None else self.globs[g][0])
-            verdict.append(self.rules[k][1] if k is not None else self.globs[g][1] if g is not None else self.default)
+        by_rule = self._longest(hit[:, 0 : 2 * r : 2] | hit[:, 1 : 2 * r : 2], self._rule_order)
+        by_glob = self._longest(hit[:, 2 * r :], self._glob_order)
+        rule = [None if k < 0 else self.rules[k][0] for k in by_rule]
+        glob = [None if g < 0 else self.globs[g][0] for g in by_glob]
+        verdict = [self.rules[k][1] if k >= 0 else self.globs[g][1] if g >= 0 else self.default for k, g in zip(by_rule, by_glob)]
         return rule, verdict, glob
 
+    @staticmethod
+    def _longest(hit: np.ndarray, order: list[int]) -> list[int]:
+        """For each row the first column in ``order`` that is set, -1 if none."""
+        if not order:
+            return [-1] * len(hit)
+        ordered = hit[:, order]
+        first = ordered.argmax(axis=1)
+        return np.where(ordered[np.arange(len(hit)), first], np.array(order)[first], -1).tolist()
+
 
 def canonical_parts(url):
     """(host, path) columns of a url column."""
