@@ -17,7 +17,8 @@ Normalising and pre-splitting follow the tokenizer file (a fixed pattern); texts
 whose class libraries may differ are split by the tokenizer's own normaliser and pre-tokenizer.
 
 Defined results: a null or empty text has no tokens, and the digests of the empty string; an empty table
-gives no rows.
+gives no rows; repeated rows give a row each; a very long text is encoded in parts of about CHUNK characters, with the result
+of the whole; only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -31,27 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartstone.llm.token_files import ODD
+from chartstone.llm.token_files import ODD, Memo, byte_symbols
 
 #: The pre-split of the word-level vocabulary, as its tokenizer file names it (a fixed pattern).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-MEMO_WORDS = 400_000
+#: Bytes that one generation of a worker's memos may hold, about.
+MEMO_BYTES = 144 << 20
 MEMO_ARCS = 2_000_000
 CHUNK = 1 << 20
 NEVER = 1 << 60
 
 
-def byte_symbols() -> list[str]:
-    """The character that stands for each byte in a byte-level vocabulary: itself if it shows, else the next free one from 256."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    out, free = {b: chr(b) for b in shown}, 256
-    for b in range(256):
-        if b not in out:
-            out[b] = chr(free)
-            free += 1
-    return [out[b] for b in range(256)]
-
-
 class MergeAutomaton:
     """Deterministic automaton of a merge list; its tokens are the labels of its arcs."""
 
@@ -164,22 +155,23 @@ class WordTokenizer:
         self.cutter = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.split = regex.compile(SPLIT).findall
         self.gap = re.compile(r"(?<=\S) (?=\S)")
-        self.memo: dict[str, tuple[str, int, str]] = {}
+        cost = lambda found: len(found[0]) + len(found[2]) + 370  # noqa: E731 - four objects and a slot
+        self.word = Memo(self._word, cost, MEMO_BYTES // 3).__getitem__
+        self.unit = Memo(self._unit, cost, MEMO_BYTES - MEMO_BYTES // 3).__getitem__
 
     def ids(self, word: str) -> list[int]:
         data = word.encode()
         return self.automaton.encode([*(self.inner[b] for b in data[:-1]), self.last[data[-1]]])
 
-    def word(self, word: str) -> tuple[str, int, str]:
+    def _word(self, word: str) -> tuple[str, int, str]:
         """(ids as text, how many, labels as text) of a pre-split word."""
-        found = self.memo.get(word)
-        if found is None:
-            ids = self.ids(word)
-            found = (" ".join(map(str, ids)), len(ids), " ".join([self.automaton.label[i] for i in ids]))
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-            self.memo[word] = found
-        return found
+        ids = self.ids(word)
+        return " ".join(map(str, ids)), len(ids), " ".join([self.automaton.label[i] for i in ids])
+
+    def _unit(self, unit: str) -> tuple[str, int, str]:
+        """The same of all words of what stands between two spaces, at which the pre-split cuts and nothing normalises across."""
+        words = list(map(self.word, self.words(unit)))
+        return " ".join([w[0] for w in words]), sum([w[1] for w in words]), " ".join([w[2] for w in words])
 
     def words(self, text: str) -> list[str]:
         """Normalised and pre-split words."""
@@ -191,6 +183,10 @@ class WordTokenizer:
             text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
         else:
             text = text.lower()
+        if text.isalpha():
+            return [text]
+        if text[:-1].isalpha() and not text[-1].isspace():  # letters, and one character that is none
+            return [text[:-1], text[-1]]
         return self.split(text)
 
     def pieces(self, text: str):
@@ -214,7 +210,12 @@ class WordTokenizer:
         """(tokens, sha256 of the ids, sha256 of the decoded text)."""
         ids, labels, n, begun = hashlib.sha256(), hashlib.sha256(), 0, False
         for added, part in self.pieces(text or ""):
-            found = [(str(self.added[added]), 1, added)] if added else list(map(self.word, self.words(part)))
+            if added:
+                found = [(str(self.added[added]), 1, added)]
+            elif ODD.search(part):
+                found = list(map(self.word, self.words(part)))
+            else:
+                found = list(map(self.unit, part.split()))  # white space alone is in no word, so it cuts
             if not found:
                 continue
             a, counts, b = zip(*found)

@@ -13,8 +13,12 @@ hold ascending ids; the manifest has a row for each shard, never one for each do
 A task writes under a name of its own attempt and only the attempt that Spark accepts enters the
 manifest, so that a lost executor or a second attempt leaves the table whole.
 
-Defined results: a null text is the empty text; an empty table has no shards; repeated ids stay
-apart, in the order of their texts' hashes.
+Texts are dealt out and then encoded, once: ids of two bytes take as much room as compressed texts, so nothing would be saved by
+shuffling ids, and writing them twice would cost more.
+
+Defined results: a null text is the empty text; an empty table has no shards; repeated ids and repeated rows stay
+apart, in the order of their texts' hashes; a very long text is encoded in parts of about CHUNK characters, with the
+result of the whole; only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from urllib.parse import urlparse
 
 import numpy as np
@@ -34,51 +39,92 @@ from pyspark.sql import functions as F
 from chartstone.llm.common import new_path, shuffle_partitions
 
 NULL_ID = -(2**63)
-#: The pre-split of the byte-level vocabulary, as its tokenizer file names it (a fixed pattern).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on whose class two regular expression libraries may differ: such texts go to the tokenizer whole.
 ODD = re.compile("[^\x00-\x1b\x20-\x84\x86-ԯḀ-῿‐-‧‰-⁞₠-₿←-⋿぀-ヿ一-龥가-힣]")
-MEMO_WORDS = 1 << 20
+CONTROL = re.compile("[\x1c-\x1f]")
+#: Runs of white space.
+RUNS = re.compile(r"(\s\s+)")
+#: Bytes that one generation of a worker's memos may hold, about; longer words are not remembered.
+MEMO_BYTES, MEMO_WORD = 144 << 20, 64
 CHUNK = 1 << 20
 
+class Memo(dict):
+    """What ``make`` gives for a key, remembered in two generations of at most ``limit`` bytes each.
 
-class WordMemo(dict):
-    """word -> its ids as bytes. Bounded: when full it starts anew from the words that follow."""
+    When the younger is full it becomes the older; what is asked for again moves back, so frequent keys stay.
+    """
 
-    def __init__(self, tokenizer, dtype) -> None:
+    def __init__(self, make, cost, limit: int) -> None:
         super().__init__()
-        self.tokenizer, self.dtype = tokenizer, dtype
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+        self.make, self.cost, self.limit, self.held, self.old = make, cost, limit, 0, {}
+
+    def __missing__(self, key: str):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= MEMO_WORD:
+            self.held += len(key) + self.cost(found)
+            if self.held > self.limit:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = found
+        return found
+
+
+def byte_symbols() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it shows, else the next free one from 256."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    out, free = {b: chr(b) for b in shown}, 256
+    for b in range(256):
+        if b not in out:
+            out[b] = chr(free)
+            free += 1
+    return [out[b] for b in range(256)]
 
 
 class TextEncoder:
     """Texts to id bytes with the tokenizers library.
 
-    A byte-level tokenizer never joins across pre-split words, so each distinct word is encoded once
-    and remembered. A text that holds a special token's string or an odd character goes to the
-    library whole.
+    A byte-level tokenizer never joins across pre-split words, and white space is pre-split like this: a single space goes with what
+    follows, any other single character is a word; of a longer run the last character is treated so and the rest is one word, but at the
+    text's end all of the run. So texts are cut into units: what stands between two single white space characters, with the space
+    ("unit") or the line break ("\\nunit") before it. A unit is looked up; on a miss, letters alone are one word for the library's model,
+    letters with one other character behind them are two, and all else is for the library as it stands. A text that holds a
+    special token's string or an odd character goes to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        import regex
-
         self.tokenizer = Tokenizer.from_file(path)
         config = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.special = [t["content"] for t in config["added_tokens"]]
         pre = config["pre_tokenizer"] or {}
         self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not config["normalizer"]
-        self.split = regex.compile(SPLIT).findall
         self.gap = re.compile(r"(?<=\S) (?=\S)")
-        self.memo = WordMemo(self.tokenizer, self.dtype)
+        self.line_break = self.whole("\n")
+        self.space = byte_symbols()[ord(" ")]
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.model = self.tokenizer.model
+        self.units = Memo(self._unit, lambda ids: len(ids) + 170, MEMO_BYTES)  # two objects and a slot
+        self.runs = Memo(self.whole, lambda ids: len(ids) + 170, 1 << 20)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _word(self, symbols: str) -> bytes:
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(symbols)]).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        head = unit[:1] == "\n"
+        word = unit[1:] if head else unit
+        if word.isalpha():
+            symbols = word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+            return self.line_break + self._word(symbols) if head else self._word(self.space + symbols)
+        if word[:-1].isalpha():
+            return self.units[unit[:-1]] + self.runs[unit[-1]]
+        return self.whole(unit if head else " " + unit)
 
     def chunks(self, text: str):
         """text cut before single spaces between words, where the pre-split cuts anyway."""
@@ -91,13 +137,44 @@ class TextEncoder:
             at = m.start()
         yield text[at:]
 
+    def parts(self, text: str) -> list[tuple[str, bool, list[str]]]:
+        """(run of white space that comes first, whether its last character goes with the first unit, units) in order."""
+        out, run, pieces = [], "", RUNS.split(text)
+        for k in range(0, len(pieces), 2):
+            if k:
+                run = pieces[k - 1]
+            piece = pieces[k]
+            if not k and piece[:1].isspace() and piece[0] not in " \n":
+                out.append((piece[0], True, []))
+                piece = piece[1:]
+            if piece:
+                units = piece.replace("\n", " \n").split(" ")
+                spaced = run[-1:] == " "
+                if not spaced and units[0][:1] != "\n":
+                    units[0] = "\n" + units[0]  # what stands behind a line break stands without a space; the break is taken off again
+                elif not spaced:
+                    units[:1] = []
+                out.append((run[:-1] if spaced else run, spaced, units))
+            elif run and k == len(pieces) - 1:
+                out.append((run, True, []))
+        return out
+
+    def _joined(self, parts: list[tuple[str, bool, list[str]]]) -> bytes:
+        found = []
+        for run, spaced, units in parts:
+            if run:
+                # of a run that no space ends, the last character is a word of its own unless the text ends there
+                found.append(self.runs[run] if spaced else self.runs[run[:-1]] + self.runs[run[-1]])
+            ids = b"".join(map(self.units.__getitem__, units))
+            found.append(ids if spaced else ids[len(self.line_break) :])
+        return b"".join(found)
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_word or any(s in text for s in self.special) or not (text.isascii() and not re.search("[\x1c-\x1f]", text) or not ODD.search(text)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        get = self.memo.__getitem__
-        return b"".join(b"".join(map(get, self.split(part))) for part in self.chunks(text))
+        if not self.by_word or any(s in text for s in self.special) or not (text.isascii() and not CONTROL.search(text) or not ODD.search(text)):
+            return self.whole(text)
+        return b"".join([self._joined(self.parts(part)) for part in self.chunks(text)])
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -142,6 +219,7 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
 
     def run(batches):
         enc, task = encoder(tokenizer), TaskContext.get()
+        itemsize = enc.dtype.itemsize
         end = b"" if end_id is None else np.array([end_id], enc.dtype).tobytes()
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}"
         fs, folder = file_system(out)
@@ -151,22 +229,19 @@ def write_token_files(df: DataFrame, id_col: str, text_col: str, tokenizer: str,
                 if files is None:
                     fs.create_dir(folder, recursive=True)
                     files = [fs.open_output_stream(f"{folder}/{name}.{x}") for x in ("tok", "off", "ids")]
-                offsets = []
-                for text in batch.column(1):
-                    data = enc(text.as_py()) + end
-                    files[0].write(data)
-                    offsets.append(at)
-                    at += len(data) // enc.dtype.itemsize
-                files[1].write(np.array(offsets, "<i8").tobytes())
+                ids = [enc(t) + end for t in batch.column(1).to_pylist()]
+                ends = np.cumsum([len(x) for x in ids]) // itemsize
+                files[0].write(b"".join(ids))
+                files[1].write(np.concatenate([[at], at + ends[:-1]]).astype("<i8").tobytes())
                 files[2].write(batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                docs += len(offsets)
+                at, docs = at + int(ends[-1]), docs + len(ids)
             if files:
                 files[1].write(np.array([at], "<i8").tobytes())
         finally:
             for f in files or ():
                 f.close()
         if docs:
-            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "docs": [docs], "tokens": [at], "itemsize": [enc.dtype.itemsize]})
+            yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "name": [name], "docs": [docs], "tokens": [at], "itemsize": [itemsize]})
 
     rows = dealt.mapInArrow(run, "part long, name string, docs long, tokens long, itemsize long").collect()
     shards, base, docs = [], 0, 0

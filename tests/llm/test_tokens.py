@@ -139,3 +139,53 @@ def test_pack_documents(spark, docs):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == np.concatenate([[0], np.cumsum(g.length)[:-1]]).tolist() and g.length.sum() <= 1024
     assert packing.pack_documents(docs.limit(0), BYTE).count() == 0
+
+
+def test_encoders_on_runs_of_white_space():
+    enc, lib, word = token_files.encoder(BYTE), Tokenizer.from_file(BYTE), bpe_automaton.tokenizer(WORD)
+    rng = random.Random(9)
+    for _ in range(6000):
+        t = "".join(rng.choice(["a", "B1", "'s", "'", ",", "é", "½", "7", "ªµ", "İ", " ", " ", "  ", "\n", "\n", "\t", "\xa0", "\r\n"]) for _ in range(rng.randrange(1, 14)))
+        assert np.frombuffer(enc(t), enc.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids, t
+        ids = word.library.encode(t, add_special_tokens=False).ids
+        assert word.digests(t)[:2] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()), t
+
+
+def test_memos_turn_when_full(monkeypatch):
+    monkeypatch.setattr(token_files, "MEMO_BYTES", 3000)
+    monkeypatch.setattr(bpe_automaton, "MEMO_BYTES", 3000)
+    enc, tok, lib = token_files.TextEncoder(BYTE), bpe_automaton.WordTokenizer(WORD), Tokenizer.from_file(BYTE)
+    for _ in range(3):
+        for t in TEXTS[:6] + [" ".join(f"word{i}" for i in range(200)), "a " + "b" * 500 + " c"]:
+            assert np.frombuffer(enc(t), enc.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids
+            assert tok.digests(t)[0] == len(tok.library.encode(t, add_special_tokens=False).ids)
+    assert 0 < len(enc.units) < 250 and enc.units.old
+
+
+def test_sum_of_squares_takes_the_best_gap():
+    """Every placement is the one after which the sum of squares is smallest, by trying all open bins."""
+    rng = np.random.default_rng(4)
+    for capacity in (7, 20, 50):
+        p, gaps = packing.SumOfSquares(capacity), {}
+        for n in rng.integers(1, capacity + 1, 400).tolist():
+            fits = {}
+            for b, g in gaps.items():
+                if g >= n:
+                    after = [h for c, h in gaps.items() if c != b and h] + ([g - n] if g > n else [])
+                    fits[b] = sum(k * k for k in np.unique(after, return_counts=True)[1].tolist())
+            b, offset = p.place(n)
+            if not fits:
+                assert b not in gaps and offset == 0
+                gaps[b] = capacity - n
+                continue
+            least = min(fits.values())
+            assert fits[b] == least and gaps[b] == min(gaps[c] for c in fits if fits[c] == least) and offset == capacity - gaps[b]
+            gaps[b] -= n
+
+
+def test_equal_rows_go_to_different_blocks(spark):
+    rows = [(None if i % 2 else 7, 0, 0, 900, 5) for i in range(4000)]
+    pieces = packing.written(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    got = packing.pack(pieces, block_pieces=500).toPandas()
+    sizes = got.groupby(got.sequence_id // (1 << 40)).size()
+    assert len(got) == 4000 and len(sizes) == 8 and sizes.max() < 1000 and got.sequence_id.nunique() == 4000
