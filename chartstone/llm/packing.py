@@ -13,7 +13,8 @@ open bins; what it can lose against one packing of everything is its last open b
 numbers are (block << 40) + number in the block.
 
 Defined results: a null text is the empty text, whose piece is the end id alone; an empty table gives
-no rows; repeated rows are packed once each.
+no rows; repeated rows are packed once each, and go to different blocks; a very long text gives as many pieces as it needs;
+only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -77,8 +78,8 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(enc(text.as_py()) + end, enc.dtype)
+            for doc, data in zip(batch.column(0).to_pylist(), map(enc, batch.column(1).to_pylist())):
+                ids = np.frombuffer(data + end, enc.dtype)
                 first = len(ids) % capacity or min(capacity, len(ids))
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for piece, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -95,7 +96,9 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PIECES) -> DataFrame:
     """pieces with sequence_id and offset added. ``pieces`` should be a written table: it is read twice."""
     blocks = max(1, round(pieces.count() / block_pieces))
-    dealt = pieces.repartition(blocks, F.xxhash64("doc_id", "piece", "start")).sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start")
+    # a row number is in the hash, so that repeated rows and null ids spread too; the written pieces give the same one on every attempt
+    dealt = pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_block", F.xxhash64("doc_id", "piece", "start", "_row"))
+    dealt = dealt.repartition(blocks, "_block").sortWithinPartitions(F.desc("length"), "doc_id", "piece", "start", "ids_crc32")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def run(batches):
