@@ -373,6 +373,17 @@ def plain_shingles(text):
     return {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
 
 
+def test_sketches_never_overstate():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 5, 300, 3000, 40_000):
+        a = np.unique(rng.integers(-(2**63), 2**63 - 1, n))
+        for share in (0.0, 0.5, 0.95, 1.0):
+            b = np.unique(np.concatenate([a[: int(share * len(a))], rng.integers(-(2**63), 2**63 - 1, n // 7)]))
+            assert all(near.apart(near.sketch(a, k), near.sketch(b, k)) <= len(np.setxor1d(a, b)) for k in (near.COARSE, near.FINE))
+    a, b = (np.unique(rng.integers(-(2**63), 2**63 - 1, 5000)) for _ in range(2))
+    assert 9 * near.apart(near.sketch(a, near.COARSE), near.sketch(b, near.COARSE)) > len(a) + len(b)  # unlike sets are ruled out whatever their size
+
+
 def test_near_copies_equal_brute_force(spark, monkeypatch):
     rng = random.Random(11)
     words = [f"w{i}" for i in range(400)]
