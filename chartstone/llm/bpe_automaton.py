@@ -37,7 +37,7 @@ from chartstone.llm.token_files import ODD, Memo, byte_symbols
 #: The pre-split of the word-level vocabulary, as its tokenizer file names it (a fixed pattern).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes that one generation of a worker's memos may hold, about.
-MEMO_BYTES = 144 << 20
+MEMO_BYTES = 64 << 20
 MEMO_ARCS = 2_000_000
 CHUNK = 1 << 20
 NEVER = 1 << 60

@@ -45,7 +45,7 @@ CONTROL = re.compile("[\x1c-\x1f]")
 #: Runs of white space.
 RUNS = re.compile(r"(\s\s+)")
 #: Bytes that one generation of a worker's memos may hold, about; longer words are not remembered.
-MEMO_BYTES, MEMO_WORD = 144 << 20, 64
+MEMO_BYTES, MEMO_WORD = 64 << 20, 64
 CHUNK = 1 << 20
 
 class Memo(dict):
