@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch to Python. Texts may be long, so batches stay short.
 ARROW_ROWS = 512
+ARROW_BYTES = 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the size of the batches that go to Python workers."""
+    """Bound the size of the batches that go to Python workers, in rows and (one row at least) in bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
