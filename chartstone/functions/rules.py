@@ -27,7 +27,7 @@ def histogram(df: DataFrame, reason: str, names: Sequence[str]) -> DataFrame:
     spark = df.sparkSession
     every = spark.createDataFrame([(n,) for n in names], f"{reason} string")
     counts = df.groupBy(reason).agg(F.count("*").alias("n"))
-    return every.join(F.broadcast(counts), reason, "left").select(reason, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return every.join(counts, reason, "left").select(reason, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def tier(score: Column) -> Column:
@@ -145,6 +145,29 @@ def apply_layer_rules(df: DataFrame, rules=LAYER_RULES) -> DataFrame:
     return df.withColumn("layer", F.explode(layers))
 
 
+def window_gates(score, x, width, blue_fraction, overlap, least_score=0.65, legend=0.18, least_blue=0.08, least_overlap=0.5) -> list[tuple[str, Column]]:
+    """Gates of a sliding-window candidate, in order: correlation, legend strip, share of blue pixels, template overlap."""
+    return [
+        ("score", score < least_score),
+        ("legend", x < F.floor(width * legend)),
+        ("colour", blue_fraction < least_blue),
+        ("overlap", overlap < least_overlap),
+    ]
+
+
+def interior_tests(count, eccentricity, largest, disk, most=3, most_eccentric=0.96, most_filled=0.45) -> dict[str, Column]:
+    """Tests of the blobs inside a ring, true if passed: how many (one at least), the largest one's eccentricity, and its share of the disk."""
+    some = count > 0
+    return {"passes_a": some & (count <= most), "passes_b": some & (eccentricity < most_eccentric), "passes_c": some & (largest / disk <= most_filled)}
+
+
+def interior_reason(count, eccentricity, largest, disk) -> Column:
+    """The figures of the interior tests that failed, joined; '' if all passed."""
+    t = interior_tests(count, eccentricity, largest, disk)
+    figures = (("passes_a", F.format_string("cc=%d", count)), ("passes_b", F.format_string("ecc=%.2f", eccentricity)), ("passes_c", F.format_string("bf=%.2f", largest / disk)))
+    return F.concat_ws(" | ", *[F.when(~t[name], text) for name, text in figures])
+
+
 def circle_class(radius: Column, annulus: Column, inner: Column, scale: float = 1.0) -> Column:
     """Kind of a detected circle: large ones by the ink of the ring, small ones by the ink inside."""
     large = radius >= int(70 * scale)

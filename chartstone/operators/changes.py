@@ -34,15 +34,27 @@ def drifts(old: DataFrame, new: DataFrame, limit: float = 0.01) -> DataFrame:
 def change_report(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, change): added, removed, modified or unchanged, by a full outer join on the business key.
 
-    Rows equal in key are compared as multisets: their values are hashed into a sum and a count.
+    Rows equal in key are compared as multisets: their values, each with its place and whether it is null, are hashed into a sum and a
+    count. Keys equal nulls to nulls. The work columns take names that neither side uses.
     """
+    taken = {c.lower() for c in (*old.columns, *new.columns)}
+    prefix = next(p for p in ("_" * i for i in range(1, 1000)) if not any(c.startswith(p) for c in taken))
 
     def digest(df: DataFrame, p: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count("*").alias(f"{p}n"), F.sum(F.xxhash64(*values).cast("decimal(38,0)")).alias(f"{p}h"))
-
-    both = digest(old, "o_").join(digest(new, "n_"), keys, "full_outer")
-    kind = F.when(F.col("o_n").isNull(), "added").when(F.col("n_n").isNull(), "removed").when((F.col("o_n") != F.col("n_n")) | (F.col("o_h") != F.col("n_h")), "modified").otherwise("unchanged")
-    return both.select(*keys, kind.alias("change"))
+        # a hash skips nulls, so (1, null) and (null, 1) would be equal without the flags
+        hashed = F.xxhash64(*[x for v in values for x in (F.col(v), F.col(v).isNull())])
+        renamed = [F.col(k).alias(f"{p}k{i}") for i, k in enumerate(keys)]
+        return df.groupBy(*renamed).agg(F.count("*").alias(f"{p}n"), F.sum(hashed.cast("decimal(38,0)")).alias(f"{p}h"))
+
+    o, n = f"{prefix}o", f"{prefix}n"
+    same = F.lit(True)
+    for i in range(len(keys)):
+        same = same & F.col(f"{o}k{i}").eqNullSafe(F.col(f"{n}k{i}"))
+    both = digest(old, o).join(digest(new, n), same, "full_outer")
+    on, nn, oh, nh = (F.col(c) for c in (f"{o}n", f"{n}n", f"{o}h", f"{n}h"))
+    kind = F.when(on.isNull(), "added").when(nn.isNull(), "removed").when((on != nn) | (oh != nh), "modified").otherwise("unchanged")
+    named = [F.when(on.isNull(), F.col(f"{n}k{i}")).otherwise(F.col(f"{o}k{i}")).alias(k) for i, k in enumerate(keys)]
+    return both.select(*named, kind.alias("change"))
 
 
 def flag_known(df: DataFrame, known: DataFrame, key: str, flag: str = "verified") -> DataFrame:

@@ -139,6 +139,69 @@ def hsv_range_mask(spark, sf):
     return p.select("band", F.explode(color.family_flags(F.col("c"))).alias("family")).groupBy("band", "family").agg(F.count("*").alias("n"))
 
 
+def _class_sql() -> str:
+    def test(k):
+        hue = f"h BETWEEN {k.h[0]} AND {k.h[1]}" + (f" OR h BETWEEN {k.h2[0]} AND {k.h2[1]}" if k.h2 else "")
+        return f"({hue}) AND s BETWEEN {k.s[0]} AND {k.s[1]} AND v BETWEEN {k.v[0]} AND {k.v[1]}"
+
+    counts = ", ".join(f"count(*) FILTER ({test(k)}) AS {k.name}" for k in color.CLASSES)
+    names = [k.name for k in color.CLASSES]
+    rows = " UNION ALL ".join([f"SELECT band, '{n}' AS class, {n} AS n, total FROM t" for n in names] + [f"SELECT band, 'unclassified', greatest(total - ({' + '.join(names)}), 0), total FROM t"])
+    return f"WITH {PIXEL}, {HSV}, t AS (SELECT band, count(*) AS total, {counts} FROM colour GROUP BY band), e AS ({rows}) SELECT band, class, n::BIGINT AS n, round(100.0::DOUBLE * n / total, 6) AS share FROM e"
+
+
+@query("colour_class_shares", _class_sql())
+def colour_class_shares(spark, sf):
+    """All eight classes and the unclassified share, by band."""
+    p = pixels(spark, sf).select("band", color.hsv(F.col("r"), F.col("g"), F.col("b")).alias("c"))
+    return color.class_shares(p, "c", ["band"]).withColumn("share", F.round("share", 6))
+
+
+@query(
+    "window_gates",
+    f"""WITH {BLOB}, c AS (SELECT id, (id % 50 + 50) / 100.0::DOUBLE AS score, (id * 7 % 1000) AS x, density AS blue, eccentricity AS overlap FROM shape)
+    SELECT CASE WHEN score < 0.65 THEN 'score' WHEN x < floor(1000 * 0.18) THEN 'legend' WHEN blue < 0.08 THEN 'colour' WHEN overlap < 0.5 THEN 'overlap' ELSE 'kept' END AS fate, count(*) AS n FROM c GROUP BY 1""",
+)
+def window_gates(spark, sf):
+    """Candidates of a sliding window through score, legend strip, blue share and template overlap."""
+    c = shapes(spark, sf).select(((F.col("id") % 50 + 50) / 100.0).alias("score"), (F.col("id") * 7 % 1000).alias("x"), "density", "eccentricity")
+    gates = rules.window_gates(F.col("score"), F.col("x"), F.lit(1000), F.col("density"), F.col("eccentricity"))
+    return c.groupBy(rules.first_failure(gates).alias("fate")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "interior_tests",
+    f"""WITH {BLOB}, c AS (SELECT id, id % 6 AS cc, eccentricity AS ecc, area, (max_dim * max_dim)::DOUBLE AS disk FROM shape),
+    t AS (SELECT *, cc > 0 AND cc <= 3 AS a, cc > 0 AND ecc < 0.96 AS b, cc > 0 AND area / disk <= 0.45 AS c FROM c)
+    SELECT id, a AS passes_a, b AS passes_b, c AS passes_c, concat_ws(' | ', CASE WHEN NOT a THEN 'cc=' || cc END, CASE WHEN NOT b THEN printf('ecc=%.2f', ecc) END) AS reason FROM t""",
+)
+def interior_tests(spark, sf):
+    """Blobs inside a ring: how many, how long the largest, how much of the disk it fills."""
+    c = shapes(spark, sf).select("id", (F.col("id") % 6).alias("cc"), "eccentricity", "area", (F.col("max_dim") * F.col("max_dim")).cast("double").alias("disk"))
+    tests = rules.interior_tests(F.col("cc"), F.col("eccentricity"), F.col("area"), F.col("disk"))
+    reason = F.regexp_replace(rules.interior_reason(F.col("cc"), F.col("eccentricity"), F.col("area"), F.col("disk")), r"( \| )?bf=[0-9.]+$", "")
+    return c.select("id", *[t.alias(n) for n, t in tests.items()], reason.alias("reason"))
+
+
+@query(
+    "change_report_nulls",
+    """WITH o AS (SELECT o_custkey AS k, nullif(o_orderkey % 3, 0) AS a, nullif(o_orderkey % 5, 0) AS b FROM orders),
+    n AS (SELECT nullif(k, 7) AS k, CASE WHEN k % 4 = 0 THEN b ELSE a END AS a, CASE WHEN k % 4 = 0 THEN a ELSE b END AS b FROM o WHERE k % 10 <> 3),
+    u AS (SELECT k, count(*) AS c, list_sort(list(coalesce(a::VARCHAR, '-') || '/' || coalesce(b::VARCHAR, '-'))) AS w FROM o GROUP BY k),
+    x AS (SELECT k, count(*) AS c, list_sort(list(coalesce(a::VARCHAR, '-') || '/' || coalesce(b::VARCHAR, '-'))) AS w FROM n GROUP BY k)
+    SELECT coalesce(u.k, x.k) AS k, CASE WHEN u.c IS NULL THEN 'added' WHEN x.c IS NULL THEN 'removed' WHEN u.w <> x.w THEN 'modified' ELSE 'unchanged' END AS change
+    FROM u FULL JOIN x ON u.k IS NOT DISTINCT FROM x.k""",
+)
+def change_report_nulls(spark, sf):
+    """Two columns whose nulls change places are a change; a null key is a key."""
+    key = F.col("o_orderkey")
+    old = load(spark, sf, "orders").select(F.col("o_custkey").alias("k"), F.nullif(key % 3, F.lit(0)).alias("a"), F.nullif(key % 5, F.lit(0)).alias("b"))
+    swap = F.col("k") % 4 == 0
+    a, b = F.when(swap, F.col("b")).otherwise(F.col("a")), F.when(swap, F.col("a")).otherwise(F.col("b"))
+    new = old.filter("k % 10 <> 3").select(F.nullif(F.col("k"), F.lit(7)).alias("k"), a.alias("a"), b.alias("b"))
+    return changes.change_report(old, new, ["k"], ["a", "b"])
+
+
 @query(
     "hue_wrap_coverage",
     f"""WITH {PIXEL}, {HSV} SELECT band, round(avg(((h BETWEEN 0.78 AND 1.0 OR h BETWEEN 0.0 AND 0.08) AND s >= 0.15 AND v >= 0.25)::INT) * 100, 6) AS wrapped,

@@ -123,9 +123,9 @@ def nms_pair_radius(spark, sf):
 _BEATS = "((b.score > a.score) OR (b.score = a.score AND b.id < a.id))"
 
 
-@query("nms_local_max", f"WITH {DET}, e AS (SELECT * FROM det WHERE type = 'error') SELECT id, x, y FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE {_BEATS} AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 225)")
+@query("nms_local_max", f"WITH {DET}, e AS (SELECT * FROM det) SELECT id, x, y FROM e a WHERE NOT EXISTS (SELECT 1 FROM e b WHERE {_BEATS} AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 225)")
 def nms_local_max(spark, sf):
-    return suppression.local_maxima(detections(spark, sf).filter("type = 'error'"), 15.0).select("id", "x", "y")
+    return suppression.local_maxima(detections(spark, sf), 15.0).select("id", "x", "y")
 
 
 @query("grid_vote_peaks", f"WITH {DET} SELECT floor(x / 24)::BIGINT AS gx, floor(y / 24)::BIGINT AS gy, count(*) AS votes FROM det GROUP BY 1, 2 HAVING count(*) >= 8")
@@ -180,10 +180,10 @@ def suppress_boxes(spark, sf):
 
 @query(
     "theta_pairs",
-    f"WITH {DET}, e AS (SELECT * FROM det WHERE type = 'error') SELECT a.id AS a_id, b.id AS b_id, b.x - a.x AS dx, b.y - a.y AS dy FROM e a JOIN e b ON b.x - a.x BETWEEN 20 AND 55 AND abs(b.y - a.y) <= 10",
+    f"WITH {DET}, e AS (SELECT * FROM det) SELECT a.id AS a_id, b.id AS b_id, b.x - a.x AS dx, b.y - a.y AS dy FROM e a JOIN e b ON b.x - a.x BETWEEN 20 AND 55 AND abs(b.y - a.y) <= 10",
 )
 def theta_pairs(spark, sf):
-    return spatial.theta_pairs(detections(spark, sf).filter("type = 'error'"), (20, 55), 10)
+    return spatial.theta_pairs(detections(spark, sf), (20, 55), 10)
 
 
 @query("dot_pairs_greedy")
@@ -210,7 +210,7 @@ def line_intersections(spark, sf):
 @query(
     "circle_from_triplets",
     f"""WITH {DET}, t AS (SELECT id, x::DOUBLE AS x1, y::DOUBLE AS y1, (lead(x) OVER w)::DOUBLE AS x2, (lead(y) OVER w)::DOUBLE AS y2, (lead(x, 2) OVER w)::DOUBLE AS x3, (lead(y, 2) OVER w)::DOUBLE AS y3
-      FROM det WHERE type = 'signup' WINDOW w AS (PARTITION BY x // 8 ORDER BY id)),
+      FROM det WINDOW w AS (PARTITION BY type, x // 8 ORDER BY id)),
     q AS (SELECT *, 2 * ((x2 - x1) * (y3 - y1) - (y2 - y1) * (x3 - x1)) AS det FROM t),
     u AS (SELECT id, x1, y1, ((y3 - y1) * ((x2 - x1) ** 2 + (y2 - y1) ** 2) - (y2 - y1) * ((x3 - x1) ** 2 + (y3 - y1) ** 2)) / det AS ux,
       ((x2 - x1) * ((x3 - x1) ** 2 + (y3 - y1) ** 2) - (x3 - x1) * ((x2 - x1) ** 2 + (y2 - y1) ** 2)) / det AS uy,
@@ -218,9 +218,9 @@ def line_intersections(spark, sf):
     SELECT id, round(x1 + ux, 4) AS cx, round(y1 + uy, 4) AS cy, round(sqrt(ux * ux + uy * uy), 4) AS r, round(turn, 4) AS turn FROM u""",
 )
 def circle_from_triplets(spark, sf):
-    """Circles through consecutive detections of one column of the grid."""
-    w = Window.partitionBy(F.floor(F.col("x") / 8)).orderBy("id")
-    d = detections(spark, sf).filter("type = 'signup'")
+    """Circles through consecutive detections of one type and one column of the grid."""
+    w = Window.partitionBy("type", F.floor(F.col("x") / 8)).orderBy("id")
+    d = detections(spark, sf)
     c = lambda name: F.col(name).cast("double")
     t = d.select("id", c("x").alias("x1"), c("y").alias("y1"), *[F.lead(c(a), k).over(w).alias(f"{a}{k + 1}") for k in (1, 2) for a in ("x", "y")])
     circle = G.circle_from_points(*[F.col(f"{a}{k}") for k in (1, 2, 3) for a in ("x", "y")])

@@ -11,11 +11,11 @@ from chartstone.plans.views import DET, detections
 from chartstone.session import load
 from chartstone.sources import readers, writers
 
-_TOKENS = "tok AS (SELECT doc_id, upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS t FROM documents WHERE lang = 'en')"
+_TOKENS = "tok AS (SELECT doc_id, upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS t FROM documents)"
 
 
 def _tokens(spark, sf):
-    d = load(spark, sf, "documents").filter("lang = 'en'")
+    d = load(spark, sf, "documents")
     return d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("t")).withColumn("t", F.upper("t"))
 
 

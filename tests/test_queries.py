@@ -58,3 +58,12 @@ def test_dot_pairs_are_greedy(spark):
             used |= {a, b}
             want.add((a, b))
     assert {(r.a_id, r.b_id) for r in registry.QUERIES["dot_pairs_greedy"](spark, SF).collect()} == want
+
+
+def test_change_report_sees_nulls(spark):
+    from chartstone.operators.changes import change_report
+
+    old = spark.createDataFrame([(1, 1, None, "x"), (2, 1, 2, "x"), (None, 5, 5, "x"), (3, None, None, "x")], "k int, a int, b int, `_ok0` string")
+    new = spark.createDataFrame([(1, None, 1, "y"), (2, 1, 2, "y"), (None, 5, 5, "y"), (4, None, None, "y")], "k int, a int, b int, `_ok0` string")
+    got = {r.k: r.change for r in change_report(old, new, ["k"], ["a", "b"]).collect()}
+    assert got == {1: "modified", 2: "unchanged", None: "unchanged", 3: "removed", 4: "added"}
