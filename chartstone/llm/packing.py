@@ -66,7 +66,7 @@ class SumOfSquares:
         return number, offset
 
 
-def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, capacity: int = CAPACITY, memo_bytes: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids, cut only if longer than ``capacity``.
 
     Then all pieces but the first hold exactly ``capacity``. One pass over the texts, no shuffle.
@@ -74,7 +74,7 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def run(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, memo_bytes)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
@@ -111,6 +111,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_
     return dealt.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(run, schema)
 
 
-def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY) -> DataFrame:
-    """Documents to packed pieces; the pieces are written once, so their texts are encoded once."""
-    return pack(written(token_pieces(df, tokenizer, end_id=end_id, capacity=capacity), "pieces"), capacity)
+def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = CAPACITY, memo_bytes: int | None = None) -> DataFrame:
+    """Documents to packed pieces; the pieces are written once, so their texts are encoded once.
+
+    ``memo_bytes`` bounds a generation of the workers' memos, for workers that hold other stages' data too.
+    """
+    return pack(written(token_pieces(df, tokenizer, end_id=end_id, capacity=capacity, memo_bytes=memo_bytes), "pieces"), capacity)

@@ -45,7 +45,7 @@ CONTROL = re.compile("[\x1c-\x1f]")
 #: Runs of white space.
 RUNS = re.compile(r"(\s\s+)")
 #: Bytes that one generation of a worker's memos may hold, about; longer words are not remembered.
-MEMO_BYTES, MEMO_WORD = 64 << 20, 64
+MEMO_BYTES, MEMO_WORD = 96 << 20, 64
 CHUNK = 1 << 20
 
 class Memo(dict):
@@ -93,21 +93,21 @@ class TextEncoder:
     special token's string or an odd character goes to the library whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo_bytes: int | None = None) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        config = json.loads(self.tokenizer.to_str())
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.special = [t["content"] for t in config["added_tokens"]]
-        pre = config["pre_tokenizer"] or {}
-        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not config["normalizer"]
+        # the settings only: the whole file as Python objects would stay in the worker's memory
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        pre = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.by_word = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and self.tokenizer.normalizer is None
         self.gap = re.compile(r"(?<=\S) (?=\S)")
         self.line_break = self.whole("\n")
         self.space = byte_symbols()[ord(" ")]
         self.symbols = dict(enumerate(byte_symbols()))
         self.model = self.tokenizer.model
-        self.units = Memo(self._unit, lambda ids: len(ids) + 170, MEMO_BYTES)  # two objects and a slot
+        self.units = Memo(self._unit, lambda ids: len(ids) + 170, memo_bytes or MEMO_BYTES)  # two objects and a slot
         self.runs = Memo(self.whole, lambda ids: len(ids) + 170, 1 << 20)
 
     def whole(self, text: str) -> bytes:
@@ -180,10 +180,10 @@ class TextEncoder:
 _ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> TextEncoder:
-    """One encoder for a worker process; its word memo serves all the tasks that follow."""
+def encoder(path: str, memo_bytes: int | None = None) -> TextEncoder:
+    """One encoder for a worker process; its memo serves all the tasks that follow."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
+        _ENCODERS[path] = TextEncoder(path, memo_bytes)
     return _ENCODERS[path]
 
 
