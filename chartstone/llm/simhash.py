@@ -112,11 +112,9 @@ def links(prints: DataFrame, max_different: int = MAX_DIFFERENT) -> DataFrame:
     star = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _verified(max_different))
     star = written(star.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct(), "star")
     roots = components(star)
-    # only the variants that more than one fingerprint has, with their components
-    placed = index.join(hubs.select(F.col("key").alias("_key")), F.col("key") == F.col("_key"), "left_semi")
-    placed = placed.join(roots, F.col("fp") == F.col("id"), "left").select("key", "fp", F.coalesce("to", "fp").alias("to"))
-    placed = written(placed, "placed")
-    a, b = placed.alias("a"), placed.alias("b")
+    placed = written(prints.join(roots, F.col("fp") == F.col("id"), "left").select("fp", F.coalesce("to", "fp").alias("to")), "placed")
+    placed_index = placed.select("fp", "to", F.explode(variants(F.col("fp"))).alias("key"))
+    a, b = placed_index.alias("a"), placed_index.alias("b")
     fa, fb = F.col("a.fp"), F.col("b.fp")
     on = (
         (F.col("a.key") == F.col("b.key"))
