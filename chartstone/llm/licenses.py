@@ -1,23 +1,33 @@
 """License scans by a positional rare-token index. DataFrame functions only.
 
-Templates (short license notices) are indexed as word -> postings (template, position). For each file
-and each template whose key words the file has, the file's rarest words of that template - by inverse
-document frequency over all documents - are looked up: each place of such a word in the file, less
-its position in the template, is a relative position, and the postings that meet at one relative
-position are an aligned copy. A template is reported if enough of the looked-up words align and one of its
-mandatory key phrases stands in the file. Everything after the frequencies happens inside the row, so
-no file's words are ever shuffled; the frequencies are counted for the templates' words alone (a few
-hundred rows, whatever the corpus).
+The index holds, for each word of the templates (license notices or whole licenses), its postings (template, position).
+Words are ordered by inverse document frequency over all documents. For each file:
+
+1. Anchors: the anchor of a mandatory key phrase is its rarest word. A template can only be reported if one of its phrases
+   stands in the file, so the file's anchors lead to its candidates; a candidate needs all words of the phrase in the file.
+2. Look-up: the file's rarest license words (LOOKED_UP of them) and its anchors are looked up. Each place of
+   such a word, less a posting's position, is a relative position, and the postings of a template that meet at one relative position
+   are an aligned copy. The share of the looked-up words of that template which align must reach ALIGNED_PERCENT.
+3. Key phrases: one of the candidate's phrases must stand in the file, word by word.
+
+In a whole copy every looked-up word of the template aligns, and its anchor is always among them, so no whole copy is lost, however
+many rarer license words the file has. Work in a file follows its words and their postings, not the number of templates.
+Everything after the frequencies happens inside the row, so no file's words are ever shuffled; the frequencies are
+counted for the templates' words alone (a few rows for each word, whatever the corpus). The index is one constant of the
+plan (JSON, parsed while planning), in buckets by the words' CRC32, so whole licenses make it no deeper.
 
 Base: places where the words of a phrase stand consecutively (PHRASES).
 
 Defined results: a null or empty text has no words, no labels and score 0; an empty table gives no
-rows; repeated rows get the same labels each; only the id and text columns are read.
+rows; repeated rows get the same labels each; words of equal frequency go by their letters; a very long text is one row of
+words; only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +35,8 @@ from pyspark.sql import functions as F
 
 from chartstone.llm.common import ascii_lower
 
-#: Rarest words of a template that are looked up in a file.
-LOOKED_UP = 12
+#: Rarest license words of a file that are looked up.
+LOOKED_UP = 16
 #: Least share of the looked-up words that must align, in hundredths.
 ALIGNED_PERCENT = 60
 #: What stands between words, in lower-cased text.
@@ -92,10 +102,6 @@ class Template:
     words: tuple[str, ...]
     phrases: tuple[str, ...]
 
-    @property
-    def key_words(self) -> list[list[str]]:
-        return [sorted(set(p.split())) for p in self.phrases]
-
 
 def templates(items=TEMPLATES) -> list[Template]:
     return [Template(label, tuple(split_words(text)), tuple(phrases)) for label, text, phrases in items]
@@ -105,6 +111,10 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
 
 
+def _vocabulary(index: list[Template]) -> list[str]:
+    return sorted({w for t in index for w in (*t.words, *" ".join(t.phrases).split())})
+
+
 def document_frequencies(df: DataFrame, text_col: str, vocabulary: list[str]) -> dict[str, int]:
     """In how many documents each template word stands; counted over all documents, a row for each word at most."""
     held = F.array_intersect(F.array(*map(F.lit, vocabulary)), words_of(F.col(text_col)))
@@ -112,28 +122,41 @@ def document_frequencies(df: DataFrame, text_col: str, vocabulary: list[str]) ->
     return {r.word: r.n for r in rows}
 
 
-def _literal(templates_: list[Template], df: dict[str, int]) -> Column:
-    """The index as an array of structs; a template's words stand rarest first."""
+def anchors(index: list[Template], frequency: dict[str, int]) -> list[tuple[str, int, str]]:
+    """(anchor, template, phrase) of each mandatory key phrase; the anchor is its rarest word."""
+    rank = lambda w: (frequency.get(w, 0), w)
+    return [(min(p.split(), key=rank), t, p) for t, template in enumerate(index) for p in template.phrases]
+
+
+class _Table:
+    """A constant map from words to arrays of structs, in buckets by the words' CRC32."""
+
+    def __init__(self, rows: dict[str, list[dict]], kind: str):
+        self.buckets = 1 << max(0, len(rows) // 4).bit_length()
+        parts: list[dict] = [{} for _ in range(self.buckets)]
+        for word, values in sorted(rows.items()):
+            parts[zlib.crc32(word.encode()) % self.buckets][word] = values
+        self.literal = F.from_json(F.lit(json.dumps(parts)), f"array<map<string,array<{kind}>>>")
 
-    def one(t: Template) -> Column:
-        rare = sorted(set(t.words), key=lambda w: (df.get(w, 0), w))
-        postings = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.lit(i) for i, v in enumerate(t.words) if v == w]))])
-        return F.struct(
-            F.lit(t.label).alias("label"),
-            F.array(*map(F.lit, rare)).alias("rare"),
-            F.array(*[F.array(*map(F.lit, k)) for k in t.key_words]).alias("keys"),
-            F.array(*[F.lit(f" {p} ") for p in t.phrases]).alias("phrases"),
-            postings.alias("postings"),
-        )
+    def of(self, word: Column) -> Column:
+        return F.get(self.literal, F.pmod(F.crc32(word.cast("binary")), F.lit(self.buckets)).cast("int"))[word]
 
-    return F.array(*map(one, templates_))
+
+def postings(index: list[Template]) -> dict[str, list[dict]]:
+    """Word to the templates and positions where it stands."""
+    out: dict[str, list[dict]] = {}
+    for t, template in enumerate(index):
+        for p, w in enumerate(template.words):
+            out.setdefault(w, []).append({"t": t, "p": p})
+    return out
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, items=TEMPLATES) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each document."""
     index = templates(items)
-    vocabulary = sorted({w for t in index for w in t.words})
+    vocabulary = _vocabulary(index)
     frequency = document_frequencies(df, text_col, vocabulary)
+    rarest_first = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     out = df.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("words"))
     words = F.col("words")
 
@@ -146,45 +169,47 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=
         return F.when(has & (F.size(words) >= len(phrase)), found).otherwise(F.array().cast("array<int>"))
 
     out = out.withColumns({f"at{k}": starts(p) for k, (p, _) in enumerate(phrases)})
-    out = out.withColumn("present", F.array_intersect(F.array(*map(F.lit, vocabulary)), words))
-    # templates whose key words are all there; verification would fail for any other
-    none = F.array_except(F.array(F.lit("")), F.array(F.lit("")))
-    literal = _literal(index, frequency)
-    possible = F.filter(literal, lambda t: F.exists(t["keys"], lambda k: F.size(F.array_except(k, F.col("present"))) == 0))
-    top = F.transform(
-        possible,
-        lambda t: F.struct(
-            t["label"].alias("label"),
-            t["phrases"].alias("phrases"),
-            t["postings"].alias("postings"),
-            F.slice(F.array_intersect(t["rare"], F.col("present")), 1, LOOKED_UP).alias("top"),
-        ),
-    )
-    enough = F.size("present") >= min(len(k) for t in index for k in t.key_words)
-    empty = F.filter(top, lambda t: F.lit(False))
-    out = out.withColumn("top", F.when(enough, top).otherwise(empty))
-    some = F.size("top") > 0
-    looked = F.array_distinct(F.flatten(F.transform(F.col("top"), lambda t: t["top"])))
-    out = out.withColumn("looked", F.when(some, looked).otherwise(none))
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(F.col("looked"), x["w"]))
-    out = out.withColumn("hits", F.when(some, hits).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
+    # the file's license words, rarest first
+    out = out.withColumn("present", F.array_intersect(F.array(*map(F.lit, rarest_first)), words))
+    by_anchor: dict[str, list[dict]] = {}
+    for word, t, phrase in anchors(index, frequency):
+        by_anchor.setdefault(word, []).append({"t": t, "label": index[t].label, "phrase": f" {phrase} ", "keys": sorted(set(phrase.split()))})
+    phrases_of = _Table(by_anchor, "struct<t:int,label:string,phrase:string,keys:array<string>>")
+    postings_of = _Table(postings(index), "struct<t:int,p:int>")
+
+    out = out.withColumn("anchors", F.array_intersect(F.col("present"), F.array(*map(F.lit, sorted(by_anchor)))))
+    named = F.flatten(F.transform("anchors", phrases_of.of))
+    out = out.withColumn("candidates", F.filter(named, lambda c: F.size(F.array_except(c["keys"], F.col("present"))) == 0))
+    some = F.size("candidates") > 0
+    none = F.array().cast("array<string>")
+    out = out.withColumn("ids", F.array_distinct(F.transform("candidates", lambda c: c["t"])))
+    looked = F.array_union(F.slice("present", 1, LOOKED_UP), F.col("anchors"))
+
+    def entry(w: Column) -> Column:
+        own = F.filter(F.coalesce(postings_of.of(w), F.array().cast("array<struct<t:int,p:int>>")), lambda x: F.array_contains(F.col("ids"), x["t"]))
+        return F.struct(w.alias("w"), own.alias("at"))
+
+    # looked-up words that stand in a candidate, with their postings there
+    entries = F.filter(F.transform(F.when(some, looked).otherwise(none), entry), lambda e: F.size(e["at"]) > 0)
+    out = out.withColumn("entries", entries)
+    out = out.withColumn("looked", F.transform("entries", lambda e: e["w"]))
+    places = F.transform(words, lambda w, i: F.struct(F.array_position(F.col("looked"), w).cast("int").alias("e"), i.alias("i")))
+    hits = F.filter(places, lambda x: x["e"] > 0)
+    out = out.withColumn("hits", F.when(F.size("looked") > 0, hits).otherwise(F.array().cast("array<struct<e:int,i:int>>")))
+    votes = F.flatten(F.transform("hits", lambda h: F.transform(F.get("entries", h["e"] - 1)["at"], lambda x: F.struct(x["t"].alias("t"), (h["i"] - x["p"]).alias("d")))))
+    out = out.withColumn("votes", F.sort_array(votes))
     out = out.withColumn("joined", F.when(some, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))).otherwise(F.lit("")))
-
-    def deltas(t) -> Column:
-        own = F.filter(F.col("hits"), lambda h: F.array_contains(t["top"], h["w"]))
-        return F.sort_array(F.flatten(F.transform(own, lambda h: F.transform(t["postings"][h["w"]], lambda p: h["i"] - p))))
-
     aligned = F.transform(
-        F.col("top"),
-        lambda t: F.struct(
-            t["label"].alias("label"),
-            F.size(t["top"]).alias("n"),
-            F.exists(t["phrases"], lambda p: F.contains(F.col("joined"), p)).alias("verified"),
-            _longest_run(deltas(t)).alias("best"),
+        F.col("candidates"),
+        lambda c: F.struct(
+            c["label"].alias("label"),
+            c["phrase"].alias("phrase"),
+            F.size(F.filter("entries", lambda e: F.exists(e["at"], lambda x: x["t"] == c["t"]))).alias("n"),
+            _longest_run(F.transform(F.filter("votes", lambda v: v["t"] == c["t"]), lambda v: v["d"])).alias("best"),
         ),
     )
     out = out.withColumn("aligned", aligned)
-    accepted = F.filter(F.col("aligned"), lambda a: a["verified"] & (100 * a["best"] >= ALIGNED_PERCENT * a["n"]))
+    accepted = F.filter(F.col("aligned"), lambda a: (a["best"] > 0) & (100 * a["best"] >= ALIGNED_PERCENT * a["n"]) & F.contains(F.col("joined"), a["phrase"]))
     out = out.withColumn("accepted", accepted)
     base = F.array_compact(F.array(*[F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)]))
     out = out.withColumn("base", F.array_sort(F.array_distinct(base)))
@@ -229,24 +254,28 @@ def oracle(source: str = "documents", items=TEMPLATES) -> str:
     words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     starts = lambda p: f"words[i:i+{len(p) - 1}] = {list(p)!r}"
     label = " ".join(f"WHEN {starts(p)} THEN {quote(x)}" for p, x in PHRASES)
-    postings = ", ".join(f"({k}, {i}, {quote(w)})" for k, t in enumerate(index) for i, w in enumerate(t.words))
+    at = ", ".join(f"({x['t']}, {x['p']}, {quote(w)})" for w, found in postings(index).items() for x in found)
+    vocabulary = ", ".join(f"({quote(w)})" for w in _vocabulary(index))
     keys = ", ".join(f"({k}, {quote(t.label)}, {quote(f' {p} ')}, {sorted(set(p.split()))!r})" for k, t in enumerate(index) for p in t.phrases)
     return f"""
 WITH w AS (SELECT doc_id, {words} AS words FROM {source}),
 pl AS (SELECT doc_id, i, CASE {label} END AS label FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE list_contains(words, 'license')) WHERE {" OR ".join(starts(p) for p, _ in PHRASES)}),
 g AS (SELECT doc_id, count(*) AS n_base, min(i) - 1 AS first_word, max(i) - 1 AS last_word, list_sort(list_distinct(list(label))) AS base FROM pl GROUP BY doc_id),
-posting(t, pos, word) AS (VALUES {postings}),
+posting(t, pos, word) AS (VALUES {at}),
+vocabulary(word) AS (VALUES {vocabulary}),
 key(t, label, phrase, need) AS (VALUES {keys}),
-tok AS (SELECT * FROM (SELECT doc_id, unnest(range(0, len(words))) AS i, unnest(words) AS word FROM w) WHERE word IN (SELECT word FROM posting)),
+tok AS (SELECT * FROM (SELECT doc_id, unnest(range(0, len(words))) AS i, unnest(words) AS word FROM w) WHERE word IN (SELECT word FROM vocabulary)),
 held AS (SELECT DISTINCT doc_id, word FROM tok),
-df AS (SELECT word, count(*) AS n FROM held GROUP BY 1),
-cand AS (SELECT w.doc_id, t, label FROM w, key WHERE list_has_all(words, need) AND contains(' ' || array_to_string(words, ' ') || ' ', phrase)),
-top AS (SELECT doc_id, t, label, word FROM cand JOIN (SELECT DISTINCT t, word FROM posting) USING (t) JOIN held USING (doc_id, word) JOIN df USING (word)
-  QUALIFY row_number() OVER (PARTITION BY doc_id, t, label ORDER BY n, word) <= {LOOKED_UP}),
-hit AS (SELECT doc_id, t, label, tok.i - pos AS delta, count(*) AS c FROM top JOIN tok USING (doc_id, word) JOIN posting USING (t, word) GROUP BY 1, 2, 3, 4),
-best AS (SELECT doc_id, t, label, max(c) AS best FROM hit GROUP BY 1, 2, 3),
-size AS (SELECT doc_id, t, label, count(*) AS n FROM top GROUP BY 1, 2, 3),
-ok AS (SELECT doc_id, list(label) AS labels, max(least(1.0::DOUBLE, best / n::DOUBLE)) AS share FROM best JOIN size USING (doc_id, t, label) WHERE 100 * best >= {ALIGNED_PERCENT} * n GROUP BY 1)
+df AS (SELECT word, count(held.word) AS n FROM vocabulary LEFT JOIN held USING (word) GROUP BY 1),
+anchor AS (SELECT DISTINCT arg_min(word, (n, word)) AS word FROM (SELECT t, phrase, unnest(need) AS word FROM key) JOIN df USING (word) GROUP BY t, phrase),
+cand AS (SELECT doc_id, t, label, phrase, contains(' ' || array_to_string(words, ' ') || ' ', phrase) AS verified FROM w, key WHERE list_has_all(words, need)),
+looked AS (SELECT doc_id, word FROM held JOIN df USING (word) LEFT JOIN (SELECT word, true AS is_anchor FROM anchor) USING (word)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n, word) <= {LOOKED_UP} OR is_anchor),
+own AS (SELECT DISTINCT doc_id, t FROM cand),
+size AS (SELECT doc_id, t, count(DISTINCT word) AS n FROM own JOIN looked USING (doc_id) JOIN posting USING (t, word) GROUP BY 1, 2),
+hit AS (SELECT doc_id, t, tok.i - pos AS delta, count(*) AS c FROM own JOIN looked USING (doc_id) JOIN posting USING (t, word) JOIN tok USING (doc_id, word) GROUP BY 1, 2, 3),
+best AS (SELECT doc_id, t, max(c) AS best FROM hit GROUP BY 1, 2),
+ok AS (SELECT doc_id, list(label) AS labels, max(least(1.0::DOUBLE, best / n::DOUBLE)) AS share FROM cand JOIN best USING (doc_id, t) JOIN size USING (doc_id, t) WHERE verified AND 100 * best >= {ALIGNED_PERCENT} * n GROUP BY 1)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(base, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(base, labels))), ','), '') AS labels, CASE WHEN coalesce(n_base, 0) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
 FROM w LEFT JOIN g USING (doc_id) LEFT JOIN ok USING (doc_id)"""

@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -241,6 +242,67 @@ def test_license_scan(spark, edges):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def plain_labels(texts, items):
+    """(labels, score) of each text by the rule in plain code, template by template."""
+    index = licenses.templates(items)
+    split = [licenses.split_words(t or "") for t in texts]
+    vocabulary = {w for t in index for w in t.words} | {w for t in index for p in t.phrases for w in p.split()}
+    n = {w: sum(w in set(words) for words in split) for w in vocabulary}
+    rare = lambda w: (n[w], w)
+    lead = {min(p.split(), key=rare) for t in index for p in t.phrases}
+    out = []
+    for text, words in zip(texts, split):
+        held = sorted(vocabulary & set(words), key=rare)
+        looked = set(held[: licenses.LOOKED_UP]) | (lead & set(held))
+        labels, share = set(), 0.0
+        for t in index:
+            own = looked & set(t.words)
+            if not own or not any(f" {p} " in f" {' '.join(words)} " for p in t.phrases):
+                continue
+            votes = Counter(i - p for i, w in enumerate(words) if w in own for p, v in enumerate(t.words) if v == w)
+            best = max(votes.values())
+            if 100 * best >= licenses.ALIGNED_PERCENT * len(own):
+                labels.add(t.label)
+                share = max(share, min(1.0, best / len(own)))
+        base = plain_base(text)
+        out.append((",".join(sorted(labels | set(filter(None, base[4].split(","))))), 1.0 if base[1] else share))
+    return out
+
+
+def scanned(spark, texts, items):
+    df = spark.createDataFrame([(i, t, "en", "x", 1) for i, t in enumerate(texts)], SCHEMA)
+    return [(r.labels, r.score) for r in licenses.scan(df, items=items).orderBy("doc_id").collect()]
+
+
+def test_license_scan_equals_plain_code(spark):
+    pick = random.Random(3)
+    notices = [text for _, text, _ in licenses.TEMPLATES]
+    pool = sorted({w for text in notices for w in licenses.split_words(text)}) + ["prose"] * 60
+    texts = [None, "", " . "]
+    for i in range(160):
+        words = []
+        for _ in range(pick.randrange(1, 4)):
+            words += pick.choices(pool, k=pick.randrange(30))
+            part = licenses.split_words(pick.choice(notices))
+            words += [w for w in part if pick.random() > (0, 0.05, 0.3)[i % 3]]
+        texts.append(" ".join(words))
+    got, want = scanned(spark, texts, licenses.TEMPLATES), plain_labels(texts, licenses.TEMPLATES)
+    assert got == want and len({x for x, _ in got}) > 8
+
+
+def test_license_index_of_hundreds_of_whole_licenses(spark):
+    pick = random.Random(4)
+    words = [f"term{i}" for i in range(900)]
+    items = []
+    for k in range(300):
+        body = pick.choices(words, k=200)
+        items.append((f"license-{k:03}", " ".join(body), (" ".join(body[50:56]),)))
+    copied = [pick.sample(range(300), 2) for _ in range(12)]
+    texts = [f"{items[a][1]} some prose {' '.join(pick.choices(words, k=300))} {items[b][1]}" for a, b in copied]
+    got = scanned(spark, [*texts, " ".join(words)], tuple(items))
+    assert [labels for labels, _ in got] == [",".join(sorted({items[a][0], items[b][0]})) for a, b in copied] + [""]
+
+
 # --- language
 
 
