@@ -442,6 +442,7 @@ def test_sketches_never_overstate():
         for share in (0.0, 0.5, 0.95, 1.0):
             b = np.unique(np.concatenate([a[: int(share * len(a))], rng.integers(-(2**63), 2**63 - 1, n // 7)]))
             assert all(near.apart(near.sketch(a, k), near.sketch(b, k)) <= len(np.setxor1d(a, b)) for k in (near.COARSE, near.FINE))
+            assert near.apart(near.group_sketch(a), near.group_sketch(b)) <= len(np.setxor1d(a, b))
     a, b = (np.unique(rng.integers(-(2**63), 2**63 - 1, 5000)) for _ in range(2))
     assert 9 * near.apart(near.sketch(a, near.COARSE), near.sketch(b, near.COARSE)) > len(a) + len(b)  # unlike sets are ruled out whatever their size
 
@@ -472,8 +473,9 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
     assert far > 20  # pairs that four bits miss
     want = sorted(set(root.values()))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for common in (10, 10**9):  # the order of the shingles moves no result
-        monkeypatch.setattr(near, "COMMON", common)
+    for common, hubs, block in ((10, 8, 4096), (10**9, 8, 4096), (10**9, 1, 2)):  # neither the order of the shingles nor hubs nor blocks move a result
+        for name, value in (("COMMON", common), ("HUBS", hubs), ("BLOCK", block)):
+            monkeypatch.setattr(near, name, value)
         assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == want
 
 
