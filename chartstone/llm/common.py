@@ -74,6 +74,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast: files of numbers are small beside what they hold, so the driver would take them in."""
+    return df.hint("merge")
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores put before it until df has no such column (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -3,7 +3,7 @@
 Each round hooks every vertex to the smallest of its neighbours and itself, doubles those pointers
 twice, maps the edges through them and keeps the distinct ones between different ends. Stars
 collapse in one round and paths shrink at least fourfold. A round is a written table, so lost executors cost
-one round at most. Nothing but row counts reaches the driver.
+one round at most. Nothing but row counts reaches the driver: the pointers are joined by shuffle at every size.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartstone.llm.common import remove, written
+from chartstone.llm.common import growing, remove, written
 
 
 def _follow(table: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
     """table with ``column`` replaced by where ``pointers`` (id, to) lead it."""
     p = pointers.select(F.col("id").alias("_id"), F.col("to").alias("_to"))
-    joined = table.join(p, F.col(column) == F.col("_id"), "left")
+    joined = table.join(growing(p), F.col(column) == F.col("_id"), "left")
     return joined.withColumn(column, F.coalesce("_to", column)).drop("_id", "_to")
 
 

@@ -12,7 +12,8 @@ at most one differing bit, at that bit, or at the segment's first bit if none di
 
 Scale: exact duplicates of a fingerprint collapse before the join, so groups of copies cost one row;
 pairs are verified inside the join, and only links leave it. Each variant's members are held against its smallest one first, and
-only what that leaves in different components is paired, so dense groups are stars. Components come from ``components``.
+only what that leaves in different components is paired, so dense groups are stars. Components come from ``components``. No join
+is broadcast, so the driver holds nothing that grows.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows share a component; a row with a
 null doc_id gets the smallest id of its component, null if no row of it has an id; rows that share a doc_id but not the text
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartstone.llm.common import free_names, own_columns, remove, written
+from chartstone.llm.common import free_names, growing, own_columns, remove, written
 from chartstone.llm.components import components
 from chartstone.llm.near import near_copies
 
@@ -109,10 +110,10 @@ def links(prints: DataFrame, max_different: int = MAX_DIFFERENT) -> DataFrame:
     hubs = index.groupBy("key").agg(F.min("fp").alias("fp"), F.max("fp").alias("most")).filter("fp < most").select("key", "fp")
     hubs = written(hubs, "hubs")
     a, b = hubs.alias("a"), index.alias("b")
-    star = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _verified(max_different))
+    star = a.join(growing(b), (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & _verified(max_different))
     star = written(star.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v")).distinct(), "star")
     roots = components(star)
-    placed = written(prints.join(roots, F.col("fp") == F.col("id"), "left").select("fp", F.coalesce("to", "fp").alias("to")), "placed")
+    placed = written(prints.join(growing(roots), F.col("fp") == F.col("id"), "left").select("fp", F.coalesce("to", "fp").alias("to")), "placed")
     placed_index = placed.select("fp", "to", F.explode(variants(F.col("fp"))).alias("key"))
     a, b = placed_index.alias("a"), placed_index.alias("b")
     fa, fb = F.col("a.fp"), F.col("b.fp")
@@ -123,7 +124,7 @@ def links(prints: DataFrame, max_different: int = MAX_DIFFERENT) -> DataFrame:
         & _verified(max_different)
         & (F.shiftright(F.col("a.key"), 32) == _reported_at(fa, fb))
     )
-    across = a.join(b.hint("merge"), on).select(fa.alias("u"), fb.alias("v"))
+    across = a.join(growing(b), on).select(fa.alias("u"), fb.alias("v"))
     out = written(star.unionByName(across), "links")
     for old in (hubs, star, placed):
         remove(spark, old.written_to)
@@ -138,16 +139,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = links(nodes.select("fp"))
     roots = components(edges)
     remove(spark, edges.written_to)
-    placed = nodes.join(roots, nodes["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("to", "fp").alias("root"))
+    placed = nodes.join(growing(roots), nodes["fp"] == roots["id"], "left").select("fp", "least", F.coalesce("to", "fp").alias("root"))
     placed = written(placed, "placed")
     # the vertices are fingerprints, so one that null ids alone hold is a vertex too
     named = placed.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "_root")
-    named = placed.join(named, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
+    named = placed.join(growing(named), F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
     named = written(named, "named")
     for old in (nodes, placed):
         remove(spark, old.written_to)
     # both sides come straight from files, so adaptive execution may split a fingerprint that very many share
-    return prints.join(named, prints["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
+    return prints.join(growing(named), prints["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,7 +162,7 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
     first = written(found.groupBy(F.col("component").alias("_c")).agg(F.min(place).alias("first")), "first")
     key, gone_key, row = free_names(df, "key", "gone", "row")
-    gone = found.join(first, F.col("component") == F.col("_c")).filter(place != F.col("first"))
+    gone = found.join(growing(first), F.col("component") == F.col("_c")).filter(place != F.col("first"))
     gone = written(gone.select(place.alias(gone_key)).distinct(), "gone")
     remove(spark, first.written_to)
     remove(spark, found.written_to)

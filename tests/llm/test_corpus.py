@@ -82,6 +82,23 @@ def test_dense_groups_are_stars(spark):
     assert {r.to for r in components.components(found).collect()} == {0}
 
 
+def test_simhash_broadcasts_nothing(spark, edges, monkeypatch):
+    """Files of fingerprints are many times as large in the driver's memory, so no size of theirs may lead to a broadcast."""
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return line_dedup.written(df, name)
+
+    monkeypatch.setattr(simhash, "written", written)
+    monkeypatch.setattr(components, "written", written)
+    near_text = " ".join(f"w{i}" for i in range(300))
+    df = edges.select("doc_id", "text").unionByName(spark.createDataFrame([(50, near_text), (51, near_text + " end")], "doc_id long, text string"))
+    written(simhash.near_duplicates(df), "out")
+    joins = [p for p in plans if "Join" in p]
+    assert len(joins) > 6 and not [p for p in joins if "Broadcast" in p]
+
+
 def test_simhash_table(spark, edges):
     got = {r.doc_id: r for r in simhash.simhash_table(edges).collect() if r.doc_id is not None}
     assert got[0].fingerprint == got[1].fingerprint == got[2].fingerprint == "0" * 16
