@@ -46,6 +46,16 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, inclusive: boo
     return left.join(found, left["id"] == found["_found"], how)
 
 
+def block_pairs(df: DataFrame, group: str, key: str, size: int = 512) -> tuple[DataFrame, DataFrame]:
+    """Two sides, dealt by (group, block): joined on both, every row meets every row of its group, about ``size`` of them in each block."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = df.groupBy(F.col(group).alias("_of")).agg(F.ceil(F.count("*") / size).cast("int").alias("_blocks"))
+    placed = df.join(sizes, F.col(group) == F.col("_of")).drop("_of")
+    left = placed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    right = placed.withColumn("block", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    return left.drop("_blocks").repartition(n, group, "block"), right.drop("_blocks").repartition(n, group, "block")
+
+
 def nearest_within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """left with right's nearest ``id`` strictly within radius (``near_id``, ``dist``), null if none; ties go to the smaller id."""
     pairs = radius_join(left.select("id", "x", "y"), right.select("id", "x", "y"), radius)

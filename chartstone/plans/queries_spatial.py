@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chartstone.functions import geometry as G
 from chartstone.functions import rules
 from chartstone.operators import fit, ordering, spatial, suppression, tiles
+from chartstone.operators.medians import medians
 from chartstone.operators.tables import written
 from chartstone.plans.registry import query
 from chartstone.plans.views import DET, detections
@@ -199,12 +200,15 @@ def dot_pairs_greedy(spark, sf):
     SELECT g, count(*) AS n, round(median((u * bx - ax * v) / det), 6) AS mx, round(median((u * by_ - ay * v) / det), 6) AS my FROM p WHERE abs(det) > 1e-9 GROUP BY 1""",
 )
 def line_intersections(spark, sf):
+    """Every pair of a group in tasks of bounded size, and exact medians without a group's values in memory."""
     k = F.col("s_suppkey")
     s = load(spark, sf, "supplier").select(k.alias("id"), F.col("s_nationkey").alias("g"), (k * 17 % 97).cast("double").alias("x1"), (k * 29 % 89).cast("double").alias("y1"), (k * 43 % 83 + 100).cast("double").alias("x2"), (k * 61 % 79).cast("double").alias("y2"))
-    a, b = s.alias("a"), s.alias("b")
+    a, b = spatial.block_pairs(s, "g", "id")
     col = lambda p: [F.col(f"{p}.{c}") for c in ("x1", "y1", "x2", "y2")]
-    p = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.g").alias("g"), G.line_intersection(*col("a"), *col("b")).alias("p")).filter("p is not null")
-    return p.groupBy("g").agg(F.count("*").alias("n"), F.round(F.median("p.x"), 6).alias("mx"), F.round(F.median("p.y"), 6).alias("my"))
+    on = (F.col("a.g") == F.col("b.g")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") < F.col("b.id"))
+    p = a.alias("a").join(b.alias("b").hint("merge"), on).select(F.col("a.g").alias("g"), G.line_intersection(*col("a"), *col("b")).alias("p")).filter("p is not null")
+    got = medians(p.select("g", F.col("p.x").alias("mx"), F.col("p.y").alias("my")), "g", ["mx", "my"])
+    return got.select("g", "n", F.round("mx", 6).alias("mx"), F.round("my", 6).alias("my"))
 
 
 @query(

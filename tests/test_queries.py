@@ -67,3 +67,32 @@ def test_change_report_sees_nulls(spark):
     new = spark.createDataFrame([(1, None, 1, "y"), (2, 1, 2, "y"), (None, 5, 5, "y"), (4, None, None, "y")], "k int, a int, b int, `_ok0` string")
     got = {r.k: r.change for r in change_report(old, new, ["k"], ["a", "b"]).collect()}
     assert got == {1: "modified", 2: "unchanged", None: "unchanged", 3: "removed", 4: "added"}
+
+
+def test_medians_are_exact_and_bounded(spark, monkeypatch):
+    """Even and odd counts, ties, nulls, wide ranges; a bracket that misses the middle changes nothing."""
+    import random
+    import statistics
+
+    from chartstone.operators import medians
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice((rng.gauss(0, 1), rng.gauss(0, 1) * 1e9, 1.5)), None if g == 2 and i % 3 else float(i)) for g in (1, 2, 3, None) for i in range(700 + (g or 0))] + [(4, 1.0, None)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    of = lambda g, k: [r[k] for r in rows if r[0] == g and r[k] is not None]
+    want = {g: (sum(r[0] == g for r in rows), *(pytest.approx(statistics.median(of(g, k))) if of(g, k) else None for k in (1, 2))) for g in (1, 2, 3, 4, None)}
+    for margin in (medians.MARGIN, -0.2):
+        monkeypatch.setattr(medians, "MARGIN", margin)
+        assert {r.g: (r.n, r.x, r.y) for r in medians.medians(df, "g", ["x", "y"]).collect()} == want
+
+
+def test_line_intersections_hold_no_group(spark):
+    """No aggregate that keeps all values of a group, and no task with all its pairs."""
+    from chartstone.operators import spatial
+
+    df = spark.createDataFrame([(i % 2, i) for i in range(3000)], "g int, id int")
+    a, b = spatial.block_pairs(df, "g", "id", 100)
+    most = b.groupBy("g", "block").count().agg({"count": "max"}).first()[0]
+    assert most < 200 and a.count() == 3000 * 15
+    plan = registry.QUERIES["line_intersections"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan and "median(" not in plan
