@@ -55,9 +55,11 @@ def bearing(dx: Column, dy: Column) -> Column:
 
 
 def path_length(points: Column) -> Column:
-    """Length of an array of struct(x, y)."""
+    """Length of an array of struct(x, y), summed from its start; a leg without one of its ends counts as nothing."""
     n = F.size(points)
-    legs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.hypot(F.get(points, i)["x"] - F.get(points, i - 1)["x"], F.get(points, i)["y"] - F.get(points, i - 1)["y"])))
+    at = lambda i, c: F.get(points, i)[c] - F.get(points, i - 1)[c]
+    # the root of the squares' sum is exact to the last bit where hypot is not
+    legs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.coalesce(F.sqrt(at(i, "x") * at(i, "x") + at(i, "y") * at(i, "y")), F.lit(0.0))))
     return F.coalesce(F.aggregate(legs, F.lit(0.0), lambda a, v: a + v), F.lit(0.0))
 
 

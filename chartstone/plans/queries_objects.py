@@ -394,9 +394,14 @@ def ncc_pairs(spark, sf):
 )
 def path_length_track(spark, sf):
     o = load(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_orderkey") % 1000).cast("double").alias("x"), F.floor(F.col("o_totalprice") / 100).cast("double").alias("y"))
-    paths = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "x", "y"))).alias("p"))
-    a, b = F.element_at("p", 1), F.element_at("p", -1)
-    got = paths.select("o_custkey", F.size("p").cast("long").alias("points"), G.path_length(F.col("p")).alias("length"), G.bearing(b["x"] - a["x"], b["y"] - a["y"]).alias("track"))
+    # orders without a key stand last; an end of the track is the first or last order that has its key and that coordinate
+    paths = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").isNull().alias("unkeyed"), "o_orderkey", "x", "y"))).alias("p"))
+
+    def span(c):
+        known = F.filter("p", lambda r: r["o_orderkey"].isNotNull() & r[c].isNotNull())
+        return F.try_element_at(known, F.lit(-1))[c] - F.try_element_at(known, F.lit(1))[c]
+
+    got = paths.select("o_custkey", F.size("p").cast("long").alias("points"), G.path_length(F.col("p")).alias("length"), G.bearing(span("x"), span("y")).alias("track"))
     return got.filter("points >= 2 and length >= 100").select("o_custkey", "points", F.round("length", 5).alias("length"), F.round("track", 4).alias("track"))
 
 

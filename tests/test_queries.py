@@ -96,3 +96,24 @@ def test_line_intersections_hold_no_group(spark):
     assert most < 200 and a.count() == 3000 * 15
     plan = registry.QUERIES["line_intersections"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile(" not in plan and "median(" not in plan
+
+
+def test_path_length_follows_its_sql(spark, tmp_path):
+    """Lengths to the last bit before rounding, and rows without a price, a key or a customer."""
+    from pyspark.sql import functions as F
+
+    from chartstone.functions import geometry as G
+
+    legs = [(a, b) for a in range(1, 60) for b in range(1, 4000, 37)]
+    df = spark.createDataFrame([(a, b, [(0.0, 0.0), (float(a), float(b))]) for a, b in legs], "a int, b int, p array<struct<x double, y double>>")
+    assert {(r.a, r.b): r.n for r in df.select("a", "b", G.path_length(F.col("p")).alias("n")).collect()} == {(a, b): math.sqrt(a * a + b * b) for a, b in legs}
+    orders = [(i if i % 11 else None, i % 40 if i % 40 < 39 else None, None if i % 7 == 3 else i * 7919 % 300_000 + 0.5) for i in range(400)]
+    # one order without a key at most for each customer, since the SQL leaves the order of several open
+    kept = {}
+    for r in orders:
+        kept.setdefault((r[1], r[0]), r)
+    spark.createDataFrame(list(kept.values()), "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    got = registry.QUERIES["path_length_track"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(c.execute(registry.ORACLES["path_length_track"]).df())
