@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,6 +75,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The 64-bit integer of the bits that are set in over half of the hashes; 0 if there are none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 15):  # those of a very long text go in parts
+        part = np.ascontiguousarray(hashes[at : at + (1 << 15)]).view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def release(spark: SparkSession) -> None:
+    """Let shuffle files go whose tables nothing refers to any more: Spark deletes them when the driver's JVM collects."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def growing(df: DataFrame) -> DataFrame:
     """df as a side of a join that is never broadcast: files of numbers are small beside what they hold, so the driver would take them in."""
     return df.hint("merge")

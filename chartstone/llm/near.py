@@ -3,7 +3,11 @@
 Shingles: lower-case A-Z, words ``[^\\x20\\x09-\\x0D]+``, the set of a text's 5-word shingles (fewer words: the whole
 sequence) as XXH64 with seed 42. Texts link if |A n B| / |A u B| >= 4/5, counted in integers.
 
-Search, exact by prefixes: two sets of n and m shingles that link share at least 4/5 of either, so under any one order of
+Search, by SimHash: each set's fingerprint holds the bits that are set in over half of its hashes; fingerprints that link by their
+deletion variants (``simhash.links``) are compared set against set, and what similar ones join needs no further comparison. At this similarity
+fingerprints differ in about ten bits, so that finds the closest copies alone.
+
+The rest, exact by prefixes: two sets of n and m shingles that link share at least 4/5 of either, so under any one order of
 all shingles their first n - ceil(4n/5) + 1 and m - ceil(4m/5) + 1 have one in common. The order is by hash,
 but shingles that are common in a sample come last; the sample moves work, not results. Pairs that meet are
 compared set against set, unless the counts of their shingles by low bits already differ too much.
@@ -20,6 +24,7 @@ set; an empty table gives no rows; only the id and text columns are read, so oth
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import accumulate, repeat
 
 import numpy as np
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartstone.llm.common import remove, written
+from chartstone.llm.common import growing, majority, release, remove, written
 from chartstone.llm.components import components
 
 SHINGLE = 5
@@ -82,20 +87,22 @@ def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, node, shingles) of each row; th is the text's hash, node that of the set, shingles its 64-bit hashes."""
+    """(doc_id, th, node, fp, shingles) of each row; th is the text's hash, node that of the set, fp its fingerprint, shingles its 64-bit hashes."""
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            sets = [shingle_set(t.as_py()).tobytes() for t in batch.column(2)]
+            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
+            prints = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            sets = [s.tobytes() for s in sets]
             nodes = np.array([xxhash.xxh64_intdigest(s, SEED) for s in sets], np.uint64).view(np.int64)
-            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "node", "shingles"])
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(prints, pa.int64()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "node", "fp", "shingles"])
 
     text = F.col(text_col)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, th long, node long, shingles binary")
+    return rows.mapInArrow(run, "doc_id long, th long, node long, fp long, shingles binary")
 
 
 def _common(sets: DataFrame, rows: int) -> np.ndarray:
@@ -259,9 +266,37 @@ def _blocks(named: DataFrame, sketches: DataFrame) -> DataFrame:
     return groups.select("key", (F.col("low") < F.col("high")).alias("cross"), "x")
 
 
-def links(sets: DataFrame, rows: int) -> DataFrame:
+def _by_fingerprint(sets: DataFrame, sketches: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (u, v) between similar nodes whose fingerprints are equal or link; a fingerprint's smallest node stands for it."""
+    spark = sets.sparkSession
+    nodes = written(sets.select("node", "fp").distinct(), "nodes")
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("least")), "least")
+    near = fingerprint_links(least.select("fp"))
+    a, b = (least.select(F.col("fp").alias(f"_f{k}"), F.col("least").alias(k)) for k in ("u", "v"))
+    same = nodes.join(growing(a), F.col("fp") == F.col("_fu")).select("u", F.col("node").alias("v")).filter("u <> v")
+    other = near.select(F.col("u").alias("_p"), F.col("v").alias("_q")).join(growing(a), F.col("_p") == F.col("_fu")).join(growing(b), F.col("_q") == F.col("_fv")).select("u", "v")
+    pairs = written(same.unionByName(other).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    for old in (nodes, least, near):
+        remove(spark, old.written_to)
+    out = _verified(pairs, sets, sketches)
+    remove(spark, pairs.written_to)
+    return out
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) that ``roots`` (id, to) don't join."""
+    a, b = (roots.select(F.col("id").alias(f"_{k}"), F.col("to").alias(f"_to_{k}")) for k in ("u", "v"))
+    joined = pairs.join(growing(a), F.col("u") == F.col("_u"), "left").join(growing(b), F.col("v") == F.col("_v"), "left")
+    return joined.filter(F.coalesce("_to_u", "u") != F.coalesce("_to_v", "v")).select("u", "v")
+
+
+def links(sets: DataFrame, rows: int, fingerprint_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (u, v) between different nodes of a written table of ``shingle_sets``: their components are those of all similar pairs."""
     spark = sets.sparkSession
+    sketches = written(_sketches(sets), "sketches")
+    closest = _by_fingerprint(sets, sketches, fingerprint_links)
+    joined = components(closest)
+    release(spark)
     prefixes = _prefixes(sets, _common(sets, rows))
     ends = F.min("node").alias("low"), F.max("node").alias("high")
     shared = written(prefixes.groupBy("key").agg(*ends).filter("low < high").select(F.col("key").alias("_key")), "shared")
@@ -276,10 +311,10 @@ def links(sets: DataFrame, rows: int) -> DataFrame:
     # this shingle and all that may follow it; a shared one before it would only lead to the same pair earlier
     most = F.least(n, m, F.least(at, k) + 1 + F.least(n - at, m - k) - 1)
     stars = stars.filter((F.col("node") != F.col("h.node")) & ((LEAST[0] + LEAST[1]) * most >= LEAST[0] * (n + m)))
-    near = written(stars.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct(), "near")
+    stars = stars.select(F.least("node", "h.node").alias("u"), F.greatest("node", "h.node").alias("v")).distinct()
+    near = written(_apart(stars, joined), "near")
     remove(spark, of_key.written_to)
-    sketches = written(_sketches(sets), "sketches")
-    first = _verified(near, sets, sketches)
+    first = closest.unionByName(_verified(near, sets, sketches))
 
     roots = components(first)
     named = hits.join(roots, F.col("node") == F.col("id"), "left").select("key", "node", "n", "at", F.coalesce("to", "node").alias("to"))
@@ -291,10 +326,13 @@ def links(sets: DataFrame, rows: int) -> DataFrame:
     return first.unionByName(second)
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, component), a row for each row of df; th is the text's hash (xxhash64), component a node of the group."""
+def near_copies(df: DataFrame, fingerprint_links: Callable[[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, th, component), a row for each row of df; th is the text's hash (xxhash64), component a node of the group.
+
+    ``fingerprint_links`` takes different fingerprints (fp) and gives a written table (u, v) of links between them.
+    """
     sets = written(shingle_sets(df, id_col, text_col), "shingles")
-    found = links(sets, sets.count())
+    found = links(sets, sets.count(), fingerprint_links)
     roots = components(found)
     # both sides come straight from files, so adaptive execution may split a set that very many share
     named = written(roots.select(F.col("id").alias("_id"), F.col("to")), "components")

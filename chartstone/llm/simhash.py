@@ -152,13 +152,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near copies (``near``), with the columns of df.
+    """One row of each group of near copies, with the columns of df: ``links`` between fingerprints of five-word shingles, checked and completed by ``near``.
 
     It is the row with the smallest id, nulls last, then text hash, then hash of the whole row: rows that share an id are told apart by
     their texts, and of rows that share both one stays.
     """
     spark = df.sparkSession
-    found = near_copies(df, id_col, text_col)
+    found = near_copies(df, links, id_col, text_col)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
     first = written(found.groupBy(F.col("component").alias("_c")).agg(F.min(place).alias("first")), "first")
     key, gone_key, row = free_names(df, "key", "gone", "row")

@@ -496,6 +496,29 @@ def test_near_copies_equal_brute_force(spark, monkeypatch):
         assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == want
 
 
+def test_near_copies_are_found_by_fingerprints_first(spark, monkeypatch):
+    """The stage links fingerprints by their variants, checks them, and prefixes are left with what these don't join."""
+    words = [f"w{i}" for i in range(600)]
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join(words[:150] + ["x"] * 200), "one two three four five six"]
+    prints = {near.majority(near.shingle_set(t)) for t in texts}
+    seen, compared = [], []
+
+    def links(df, *_):
+        seen.extend(r.fp % 2**64 for r in df.collect())
+        return found(df)
+
+    def verified(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    found, verify = simhash.links, near._verified
+    monkeypatch.setattr(simhash, "links", links)
+    monkeypatch.setattr(near, "_verified", verified)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_first(df).collect()) == [0, 2, 3]
+    assert set(seen) == prints and len(seen) == len(prints) and compared == [1, 0, 0]
+
+
 # --- pipeline
 
 
