@@ -9,9 +9,10 @@ merge that cut the old one - and a state's row of the transition table is filled
 after token s an arc t is there unless some merge cut it, that is, unless a token that once ended s and
 one that once began t were merged while both were still current. Of equal merges the left one goes first.
 
-Encoding: over a pre-split word, arcs whose labels spell the word are followed; every prefix has exactly one accepted
-path, so each place of the word gets one state, and the path to the end is the encoding. Decoding emits the
-labels of the path's arcs, as the library's decode does for a tokenizer without a decoder: joined by spaces.
+Encoding: over a pre-split word, arcs whose labels spell the word are followed, the longest label first; every prefix has
+exactly one accepted path, so each place of the word has one state, a place that leads no further is never entered
+again, and the path that comes to the end is the encoding. Decoding emits the labels of the path's arcs, as the
+library's decode does for a tokenizer without a decoder: joined by spaces.
 
 Normalising and pre-splitting follow the tokenizer file (a fixed pattern); texts with characters on
 whose class libraries may differ are split by the tokenizer's own normaliser and pre-tokenizer.
@@ -37,7 +38,7 @@ from chartstone.llm.token_files import ODD, Memo, byte_symbols
 #: The pre-split of the word-level vocabulary, as its tokenizer file names it (a fixed pattern).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes that one generation of a worker's memos may hold, about.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 128 << 20
 MEMO_ARCS = 2_000_000
 CHUNK = 1 << 20
 NEVER = 1 << 60
@@ -58,20 +59,29 @@ class MergeAutomaton:
         self.size = size
         for rank, (u, v) in enumerate(merges):
             self.add_gadget(rank, vocab[u], vocab[v], vocab[u + v])
-        # spelling of labels in base symbols, as a trie: (node, symbol) -> node, and the label that ends at a node
-        self.child: dict[int, int] = {}
-        self.ends: list[int] = [-1]
+        # spelling of labels in base symbols, as a trie: a node leads from a symbol to the next node, and from -1 to the longest
+        # label that ends at it or above it
+        self.root: dict[int, dict | int] = {}
+        self.length = [0] * size
         spelled: dict[int, list[int]] = {}
         for i in sorted(vocab.values(), key=lambda i: self.born[i]):
             p = self.parts[i]
             spelled[i] = [i] if p is None else spelled[p[0]] + spelled[p[1]]
-            node = 0
+            node = self.root
             for s in spelled[i]:
-                key = node * size + s
-                node = self.child.setdefault(key, len(self.ends))
-                if node == len(self.ends):
-                    self.ends.append(-1)
-            self.ends[node] = i
+                node = node.setdefault(s, {})
+            node[-1] = i
+            self.length[i] = len(spelled[i])
+        self.depth = max(self.length)
+        # of each label, the longest other label that it begins with
+        self.shorter = [-1] * size
+        nodes = [(self.root, -1)]
+        while nodes:
+            node, above = nodes.pop()
+            i = node.setdefault(-1, above)
+            if i != above:
+                self.shorter[i] = above
+            nodes += [(below, i) for s, below in node.items() if s >= 0]
         self.arcs: dict[int, bool] = {}
 
     def add_gadget(self, rank: int, u: int, v: int, uv: int) -> None:
@@ -113,24 +123,36 @@ class MergeAutomaton:
 
     def encode(self, symbols: list[int]) -> list[int]:
         """The accepted path that spells ``symbols`` (base symbol ids)."""
-        n, size, child, ends = len(symbols), self.size, self.child, self.ends
-        state, came = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            here, node = state[i], 0
-            if i and here < 0:
-                raise ValueError("no path: the automaton is not one of a merge list")
-            for j in range(i, n):
-                node = child.get(node * size + symbols[j], -1)
-                if node < 0:
+        n, size, depth, root, length, shorter, arcs = len(symbols), self.size, self.depth, self.root, self.length, self.shorter, self.arcs
+        path, dead, at, state = [], set(), 0, -1
+        while at < n:
+            node = root
+            for s in symbols[at : at + depth]:
+                below = node.get(s)
+                if below is None:
                     break
-                token = ends[node]
-                if token >= 0 and state[j + 1] < 0 and (i == 0 or self.arc(here, token)):
-                    state[j + 1], came[j + 1] = token, i
-        path, at = [], n
-        while at:
-            path.append(state[at])
-            at = came[at]
-        return path[::-1]
+                node = below
+            token = node[-1]
+            while True:
+                while token >= 0:
+                    if at + length[token] not in dead:
+                        if state < 0:
+                            break
+                        known = arcs.get(state * size + token)
+                        if self.arc(state, token) if known is None else known:
+                            break
+                    token = shorter[token]
+                if token >= 0:
+                    break
+                if not path:
+                    raise ValueError("no path: the automaton is not one of a merge list")
+                dead.add(at)
+                token = path.pop()
+                at -= length[token]
+                state, token = path[-1] if path else -1, shorter[token]
+            path.append(token)
+            at, state = at + length[token], token
+        return path
 
 
 class WordTokenizer:
@@ -155,29 +177,39 @@ class WordTokenizer:
         self.cutter = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.split = regex.compile(SPLIT).findall
         self.gap = re.compile(r"(?<=\S) (?=\S)")
-        cost = lambda found: len(found[0]) + len(found[2]) + 370  # noqa: E731 - four objects and a slot
+        self.name = [str(i) for i in range(self.automaton.size)]
+        cost = lambda found: len(found[0]) + len(found[1]) + 340  # noqa: E731 - four objects and a slot
         self.word = Memo(self._word, cost, MEMO_BYTES // 3).__getitem__
         self.unit = Memo(self._unit, cost, MEMO_BYTES - MEMO_BYTES // 3).__getitem__
 
     def ids(self, word: str) -> list[int]:
         data = word.encode()
-        return self.automaton.encode([*(self.inner[b] for b in data[:-1]), self.last[data[-1]]])
+        symbols = list(map(self.inner.__getitem__, data))
+        symbols[-1] = self.last[data[-1]]
+        return self.automaton.encode(symbols)
 
-    def _word(self, word: str) -> tuple[str, int, str]:
-        """(ids as text, how many, labels as text) of a pre-split word."""
-        ids = self.ids(word)
-        return " ".join(map(str, ids)), len(ids), " ".join([self.automaton.label[i] for i in ids])
+    def _word(self, word: str) -> tuple[str, str]:
+        """(ids as text, labels as text) of a pre-split word."""
+        ids, name, label = self.ids(word), self.name, self.automaton.label
+        return " ".join([name[i] for i in ids]), " ".join([label[i] for i in ids])
 
-    def _unit(self, unit: str) -> tuple[str, int, str]:
+    def _unit(self, unit: str) -> tuple[str, str]:
         """The same of all words of what stands between two spaces, at which the pre-split cuts and nothing normalises across."""
-        words = list(map(self.word, self.words(unit)))
-        return " ".join([w[0] for w in words]), sum([w[1] for w in words]), " ".join([w[2] for w in words])
+        words = self.plain_words(unit)
+        if len(words) == 1:
+            return self.word(words[0])
+        a, b = zip(*map(self.word, words))
+        return " ".join(a), " ".join(b)
 
     def words(self, text: str) -> list[str]:
         """Normalised and pre-split words."""
         if ODD.search(text):
             pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [bytes(self.of_symbol[c] for c in piece).decode() for piece, _ in pieces]
+        return self.plain_words(text)
+
+    def plain_words(self, text: str) -> list[str]:
+        """The same of a text without odd characters."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
             text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
@@ -211,18 +243,18 @@ class WordTokenizer:
         ids, labels, n, begun = hashlib.sha256(), hashlib.sha256(), 0, False
         for added, part in self.pieces(text or ""):
             if added:
-                found = [(str(self.added[added]), 1, added)]
+                found = [(str(self.added[added]), added)]
             elif ODD.search(part):
                 found = list(map(self.word, self.words(part)))
             else:
                 found = list(map(self.unit, part.split()))  # white space alone is in no word, so it cuts
             if not found:
                 continue
-            a, counts, b = zip(*found)
+            a, b = map(" ".join, zip(*found))
             joint = " " if begun else ""
-            ids.update((joint + " ".join(a)).encode())
-            labels.update((joint + " ".join(b)).encode())
-            n, begun = n + sum(counts), True
+            ids.update((joint + a).encode())
+            labels.update((joint + b).encode())
+            n, begun = n + a.count(" ") + 1, True
         return n, ids.hexdigest(), labels.hexdigest()
 
     def encode(self, text: str | None) -> list[int]:

@@ -104,6 +104,29 @@ def test_automaton_accepts_exactly_bpe():
         assert [auto.label[i] for i in auto.encode([vocab[c] for c in w])] == bpe(w)
 
 
+def test_automaton_looks_up_few_arcs():
+    """Invented and long words, with the library's ids, for less than two cells of the transition table a token: only arcs on the way are looked up."""
+
+    class Counted(dict):
+        looked_up = 0
+
+        def get(self, key):
+            self.looked_up += 1
+            return super().get(key)
+
+    tok, rng = bpe_automaton.WordTokenizer(WORD), random.Random(5)
+    tok.automaton.arcs = Counted()
+    parts = ["th", "er", "in", "ou", "sh", "bl", "ed", "ti", "on", "an", "ly", "é", "ß", "ción", "ver", "q", "z"]
+    words = ["".join(rng.choice(parts) for _ in range(rng.randrange(2, 7))) for _ in range(2000)]
+    words += ["".join(rng.choice(parts) for _ in range(9000)), "a" * 20000]
+    found = [tok.ids(w) for w in words]
+    assert tok.automaton.arcs.looked_up < 2 * sum(map(len, found))
+    for w, ids in [*zip(words, found), (last := "ab" * 9000 + "z", tok.ids(last))]:  # the last goes wrong at its end and back to its start
+        assert ids == tok.library.encode(w, add_special_tokens=False).ids, w[:80]
+    with pytest.raises(ValueError):
+        tok.automaton.encode([tok.inner[97], tok.automaton.size])
+
+
 def test_encoding_table(spark, docs):
     tok = Tokenizer.from_file(WORD)
     got = {r.doc_id: r.n_tokens for r in bpe_automaton.encoding_table(docs, WORD).collect() if r.doc_id is not None}
